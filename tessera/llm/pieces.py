@@ -8,6 +8,7 @@ those it has met and asks the library for new ones only.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +52,9 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of texts through a cache of pieces; the cache begins anew when it holds capacity pieces."""
+    """Ids of texts through a cache of capacity pieces; when it is full, further ones are kept for their batch only."""
 
-    def __init__(self, encode_batch, capacity: int = 1_000_000) -> None:
+    def __init__(self, encode_batch, capacity: int = 400_000) -> None:
         self.encode_batch, self.capacity = encode_batch, capacity
         self.clear()
 
@@ -70,7 +71,7 @@ class PieceEncoder:
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.pool) < self.used + m:
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + m] = np.fromiter((i for x in ids for i in x), np.uint32, m)
+        self.pool[self.used : self.used + m] = np.fromiter(chain.from_iterable(ids), np.uint32, m)
         self.first[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(pieces)] = counts
         self.used += m
@@ -84,13 +85,23 @@ class PieceEncoder:
         starts = cuts(data, offsets)
         coded = strings(data, np.append(starts, len(data))).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.slot) + len(words) > self.capacity:
+        new = [w for w in words if w not in self.slot]
+        if len(new) > max(0.7 * len(words), self.capacity - len(self.slot)):  # other texts than before
             self.clear()
-        if new := [w for w in words if w not in self.slot]:
-            self._add(new)
+            new = words
+        room = max(0, self.capacity - len(self.slot))
+        if kept := new[:room]:
+            self._add(kept)
+        if passing := new[room:]:
+            used = self.used
+            self._add(passing)
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.count[slots]
         ids = self.pool[ragged(self.first[slots], counts)]
+        if passing:
+            self.used = used
+            for w in passing:
+                del self.slot[w]
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ids, ends[np.searchsorted(starts, offsets)]
 
