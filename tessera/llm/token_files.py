@@ -132,18 +132,22 @@ def _tokenise(path: str, end_id: int, size: int):
 
     def run(batches):
         encode, counts = encoder(path), np.zeros(size, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             ids, at = encode(batch.column("text"))
             at = at + np.arange(len(at))  # room for the end ids
-            own = np.full(int(at[-1]), end_id, np.uint32)
-            own[np.delete(np.arange(len(own)), at[1:] - 1)] = ids
+            inside = np.ones(int(at[-1]), bool)
+            inside[at[1:] - 1] = False
+            own = np.full(len(inside), end_id, kind)
+            own[inside] = ids
             counts += np.bincount(own, minlength=size)
-            raw = own.astype(kind).tobytes()
+            raw = own.tobytes()
+            del ids, own, inside
             step = np.dtype(kind).itemsize
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(at)), pa.array([raw[a * step : b * step] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
                 names=["doc_id", "n", "ids"],
             )
+            pa.default_memory_pool().release_unused()
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(-counts[some]), pa.nulls(len(some), pa.binary())], names=["doc_id", "n", "ids"])
 
@@ -154,7 +158,7 @@ def _encode(code, kind: str):
     def run(batches):
         lengths = code.value
         codes = canonical(lengths)
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 2 << 20):
             n = batch.column("n").to_numpy()
             ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
             at = np.concatenate([[0], np.cumsum(n)])
