@@ -32,6 +32,7 @@ SIGN_BITS = 2048
 MARK_BITS = 26
 CHUNK = 2000
 SALTS = 16
+SLICE = 2 << 20
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -47,7 +48,7 @@ def band(n: Column, percent: int) -> Column:
 def _sketch(words: int):
     def run(batches):
         counts = np.zeros(1 << CELLS, np.int32)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             hashes, _ = shingle_hashes(batch.column("text"), words)
             counts += np.bincount((hashes >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.int32)
         mean = counts.mean()
@@ -62,7 +63,7 @@ def _signs(words: int, percent: int, levels):
 
     def run(batches):
         level_of = np.frombuffer(levels.value, np.uint8)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"), words)
             sizes = np.diff(at)
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -137,7 +138,9 @@ def _send(buckets: int, levels):
 
 
 def _live(levels):
-    """Rows whose shingle stands in two classes at least; frequent ones pass, as their classes are in several lists."""
+    """The classes of each shingle that stands in two at least, once for all shingles of the same classes (w counts them).
+
+    A frequent shingle's classes are in several lists; each list becomes a row that only its shingle names."""
 
     def run(batches):
         level_of = np.frombuffer(levels.value, np.uint8)
@@ -145,22 +148,51 @@ def _live(levels):
         for batch in batches:
             for row in batch.to_pylist():
                 lists.setdefault(row["bucket"], []).append([np.frombuffer(row[c], k) for c, k in (("token", np.uint64), ("rep", np.int64), ("n", np.int32))])
+        rows: list[list] = []
         while lists:
-            _, parts = lists.popitem()
+            bucket, parts = lists.popitem()
             token, rep, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(token, kind="stable")
+            order = np.lexsort((rep, token))
             token, rep, n = token[order], rep[order], n[order]
-            same = token[1:] == token[:-1]
-            keep = level_of[(token >> np.uint64(64 - CELLS)).astype(np.int64)] > 0
-            keep[1:] |= same
-            keep[:-1] |= same
-            for a in range(0, int(keep.sum()), 1 << 18):
-                own = np.flatnonzero(keep)[a : a + (1 << 18)]
-                yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(rep[own]), pa.array(n[own])], names=["token", "rep", "n"])
+            first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
+            size = np.diff(np.append(first, len(token)))
+            hot = level_of[(token[first] >> np.uint64(64 - CELLS)).astype(np.int64)] > 0
+            keep = (size > 1) | hot
+            name = [np.add.reduceat(mix(rep.view(np.uint64) ^ x), first) for x in (_A, _B)] if len(first) else [first, first]
+            sa, sb = np.where(hot, token[first], name[0])[keep].view(np.int64), np.where(hot, np.uint64(bucket), name[1])[keep].view(np.int64)
+            first, size, hot = first[keep], size[keep], hot[keep]
+            by = np.lexsort((sb, sa))
+            new = np.ones(len(by), bool)
+            new[1:] = (sa[by][1:] != sa[by][:-1]) | (sb[by][1:] != sb[by][:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(by)))
+            for i, w in zip(by[new].tolist(), times.tolist(), strict=True):
+                x, y = first[i], first[i] + size[i]
+                rows.append([sa[i], sb[i], hot[i], w, rep[x:y].tobytes(), n[x:y].tobytes()])
+                if len(rows) >= 20_000:
+                    yield _table(rows)
+                    rows = []
+        if rows:
+            yield _table(rows)
 
     return run
 
 
+def _table(rows: list[list]) -> pa.RecordBatch:
+    kinds = {"sa": pa.int64(), "sb": pa.int64(), "hot": pa.bool_(), "w": pa.int64(), "reps": pa.binary(), "ns": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+
+def _unpack(batches):
+    for batch in batches:
+        reps, ns = (b"".join(batch.column(c).to_pylist()) for c in ("reps", "ns"))
+        size = np.array([len(x) // 8 for x in batch.column("reps").to_pylist()], np.int64)
+        sid = np.where(batch.column("hot").to_numpy(zero_copy_only=False), batch.column("sa").to_numpy(), mix(batch.column("sa").to_numpy().view(np.uint64) ^ mix(batch.column("sb").to_numpy().view(np.uint64))).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(sid, size)), pa.array(np.frombuffer(reps, np.int64)), pa.array(np.frombuffer(ns, np.int32)), pa.array(np.repeat(batch.column("w").to_numpy(), size))],
+            names=["sid", "rep", "n", "w"],
+        )
+
+
 def _marked(words: int, marks):
     """The shingle sets of documents whose id's mark is set."""
 
@@ -173,7 +205,7 @@ def _marked(words: int, marks):
                 hit = (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
                 yield batch.filter(pa.array(hit.astype(bool)))
 
-        for batch in slices(picked(), "text"):
+        for batch in slices(picked(), "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "hashes"])
 
@@ -202,29 +234,55 @@ def _verify(percent: int):
 
 
 def _compare(percent: int):
-    """Pairs of a tile, of different components, whose sizes and bitmaps allow a link."""
-
-    def run(tile: pa.Table) -> pa.Table:
-        rep, n, comp, side = (tile.column(c).to_numpy() for c in ("rep", "n", "comp", "side"))
-        sign = np.frombuffer(b"".join(tile.column("sign").to_pylist()), np.uint64).reshape(len(rep), -1)
-        order = np.argsort(n, kind="stable")
-        rep, n, comp, side, sign = rep[order], n[order], comp[order], side[order], sign[order]
-        last = np.searchsorted(n, n * 100 // percent, side="right")
-        found_a, found_b = [], []
-        for i in range(len(rep)):
-            j = np.arange(i + 1, last[i])
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] == 2))]
-            if len(j):
-                apart = np.bitwise_count(sign[j] ^ sign[i]).sum(1, dtype=np.int64)
-                j = j[apart * (100 + percent) <= (n[i] + n[j]).astype(np.int64) * (100 - percent)]
-                found_a += [rep[i]] * len(j)
-                found_b.append(rep[j])
-        a, b = np.array(found_a, np.int64), np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    """Pairs of a tile, of different components, whose sizes and bitmaps allow a link.
+
+    Rows come by tile and size.  All tiles at hand are compared at once: each row with the next one, the one after that, .."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        rep, n, comp, side, sign = (rows.column(c).combine_chunks() for c in ("rep", "n", "comp", "side", "sign"))
+        rep, n, comp, side = (x.to_numpy() for x in (rep, n, comp, side))
+        sign = np.frombuffer(b"".join(sign.to_pylist()), np.uint64).reshape(len(rep), -1)
+        tile = np.cumsum(_changes(rows))
+        found, step, i = [], 1, np.arange(len(rep))
+        while True:
+            i = i[: np.searchsorted(i, len(rep) - step)]
+            i = i[(tile[i] == tile[i + step]) & (n[i] * 100 >= n[i + step] * percent)]
+            if not len(i):
+                break
+            a = i[(comp[i] != comp[i + step]) & ((side[i] != side[i + step]) | (side[i] == 2))]
+            if len(a):
+                apart = np.bitwise_count(sign[a] ^ sign[a + step]).sum(1, dtype=np.int64)
+                a = a[apart * (100 + percent) <= (n[a] + n[a + step]) * (100 - percent)]
+                found.append(np.stack([rep[a], rep[a + step]]))
+            step += 1
+        both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1) if found else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            last = int(np.flatnonzero(_changes(rows))[-1]) if rows.num_rows else 0
+            if last:
+                yield pairs(rows.slice(0, last))
+            held = rows.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs(held)
 
     return run
 
 
+def _changes(rows: pa.Table) -> np.ndarray:
+    """True where a row is of another tile than the one before, and for the first."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for c in ("sid", "p", "q"):
+        x = rows.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, after exact intersection.  Only documents whose id's mark is set are cut into shingles again."""
     spark = docs.sparkSession
@@ -255,22 +313,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = materialise(classes.select("fa", "fb", F.col("c.doc_id").alias("rep"), F.col("c.n").alias("n"), F.col("c.tokens").alias("tokens"), F.col("c.sign").alias("sign")), "classes")
     buckets = width(spark)
     lists = classes.select("rep", "n", "tokens").mapInArrow(_send(buckets, levels), "bucket int, token binary, rep binary, n binary")
-    live = materialise(lists.repartition(buckets, "bucket").mapInArrow(_live(levels), "token long, rep long, n int").withColumn("band", band(F.col("n"), percent)), "live")
-    # stars
-    leaders = live.groupBy("token", "band").agg(F.min(F.struct("n", "rep")).alias("top")).select("token", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"))
-    near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["token", "band"]) for shift in (0, 1)]
+    sets = lists.repartition(buckets, "bucket").mapInArrow(_live(levels), "sa long, sb long, hot boolean, w long, reps binary, ns binary")
+    sets = sets.groupBy("sa", "sb", "hot").agg(F.sum("w").alias("w"), F.first("reps").alias("reps"), F.first("ns").alias("ns"))
+    live = materialise(sets.mapInArrow(_unpack, "sid long, rep long, n int, w long").withColumn("band", band(F.col("n"), percent)), "live")
+    # stars around the class of a tile that shares most of its shingles
+    shared = live.groupBy("rep").agg((F.sum("w") / F.first("n")).alias("shared"))
+    rated = live.join(shared, "rep")
+    leaders = rated.groupBy("sid", "band").agg(F.min(F.struct(-F.col("shared"), "n", "rep")).alias("top")).select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"))
+    near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["sid", "band"]) for shift in (0, 1)]
     stars = near[0].unionByName(near[1]).where(f"rep <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     stars = materialise(stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "stars-to-try")
     links = _verified(stars, docs, words, percent)
     found = components(links)
     # what the stars leave
-    placed = live.join(found, live["rep"] == found["id"], "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    open_tokens = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("token", F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK)).cast("int").alias("k"))
-    rest = placed.join(open_tokens, "token").withColumn("i", F.pmod(F.hash("rep"), F.col("k")))
+    placed = live.join(found, live["rep"] == found["id"], "left").select("sid", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    open_sets = placed.groupBy("sid").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("sid", F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK)).cast("int").alias("k"))
+    rest = placed.join(open_sets, "sid").withColumn("i", F.pmod(F.hash("rep"), F.col("k")))
     tile = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), F.when(j == F.col("i"), 2).otherwise((F.col("i") > j).cast("int")).alias("side")))
-    rest = rest.select("token", "rep", "n", "comp", F.explode(tile).alias("t")).select("token", "rep", F.col("n").cast("long").alias("n"), "comp", "t.*")
-    rest = rest.join(classes.select("rep", "sign"), "rep")
-    more = rest.groupBy("token", "p", "q").applyInArrow(_compare(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = rest.select("sid", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(tile).alias("t")).select("sid", "rep", "n", "comp", "t.*")
+    rest = rest.join(classes.select("rep", "sign"), "rep").repartition(buckets, "sid", "p", "q").sortWithinPartitions("sid", "p", "q", "n")
+    more = rest.mapInArrow(_compare(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(more, "rest-to-try")
     if not more.isEmpty():
         found = components(links.unionByName(_verified(more, docs, words, percent)))
