@@ -1,8 +1,8 @@
 """Encoding whole texts with the tokenizers library, one distinct piece at a time.
 
-Both byte-level BPE with a `` ?word`` pattern and lower-casing word BPE cut every text before a run of white space that
-follows something else, so the ids of a text are those of such pieces in a row.  Pieces repeat, so a worker keeps the ids of
-those it has met and asks the library for new ones only.
+Both byte-level BPE with a `` ?word`` pattern and lower-casing word BPE cut every text before white space that follows
+something else, and between a letter and a mark of ASCII (but not after an apostrophe, for ``'s``), so the ids of a text are
+those of such pieces in a row.  Pieces repeat: a worker keeps the ids of those it has met and asks for new ones only.
 """
 
 from __future__ import annotations
@@ -34,13 +34,29 @@ def open_tokenizer(path: str):
     return tokenizer
 
 
+#: Kinds of bytes: letters and marks of ASCII, without the apostrophe.
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+MARK[39] = False
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased, except before a byte over ASCII (it may compose with the letter), and each blank of ASCII a space."""
+    upper = (data >= 65) & (data <= 90)
+    upper[:-1] &= data[1:] < 0x80
+    data = data + (upper * np.uint8(32))
+    data[BLANK[data]] = 32
+    return data
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at each text's start and before a blank of ASCII that follows no white space of any kind."""
+    """Where pieces begin: at each text's start, before a blank of ASCII that follows no white space, between letters and marks."""
     if not len(data):
         return np.zeros(0, np.int64)
-    blank = BLANK[data]
+    blank, letter, mark = BLANK[data], LETTER[data], MARK[data]
     begins = np.zeros(len(data), bool)
-    np.logical_and(blank[1:], ~blank[:-1], out=begins[1:])
+    begins[1:] = (blank[1:] & ~blank[:-1]) | (letter[:-1] & (mark[1:] | (data[1:] == 39))) | (mark[:-1] & letter[1:])
     high = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1
     if len(high):
         a, b, c = data[np.maximum(high - 3, 0)], data[np.maximum(high - 2, 0)], data[high - 1]
@@ -54,8 +70,8 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of texts through a cache of capacity pieces; when it is full, further ones are kept for their batch only."""
 
-    def __init__(self, encode_batch, capacity: int = 400_000) -> None:
-        self.encode_batch, self.capacity = encode_batch, capacity
+    def __init__(self, encode_batch, fold: bool = False, capacity: int = 300_000) -> None:
+        self.encode_batch, self.fold, self.capacity = encode_batch, fold, capacity
         self.clear()
 
     def clear(self) -> None:
@@ -82,6 +98,8 @@ class PieceEncoder:
         data, offsets = view(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if self.fold:
+            data = folded(data)
         starts = cuts(data, offsets)
         coded = strings(data, np.append(starts, len(data))).dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -110,5 +128,6 @@ def encoder(path: str) -> PieceEncoder:
     """This worker process's encoder of a tokenizer file; it stays for later batches and tasks."""
     if path not in _WORKERS:
         tokenizer = open_tokenizer(path)
-        _WORKERS[path] = PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+        fold = tokenizer.normalizer is not None and tokenizer.encode("A\nB", add_special_tokens=False).ids == tokenizer.encode("a b", add_special_tokens=False).ids
+        _WORKERS[path] = PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], fold)
     return _WORKERS[path]
