@@ -154,6 +154,12 @@ def _tokenise(path: str, end_id: int, size: int):
     return run
 
 
+def _every(n: np.ndarray) -> np.ndarray:
+    """Positions, in documents of n tokens in a row, of every SEGMENT-th token of each."""
+    per = -(-n // SEGMENT)
+    return ragged(np.zeros(len(n), np.int64), per) * SEGMENT + np.repeat(np.cumsum(n) - n, per)
+
+
 def _encode(code, kind: str):
     def run(batches):
         lengths = code.value
@@ -162,29 +168,32 @@ def _encode(code, kind: str):
             n = batch.column("n").to_numpy()
             ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind)
             at = np.concatenate([[0], np.cumsum(n)])
-            raw, begin, _ = pack_bits(ids, at, codes, lengths)
+            raw, begin, position = pack_bits(ids, at, codes, lengths)
+            per = -(-n // SEGMENT)
+            marks = position[_every(n)] - np.repeat(8 * begin[:-1], per)
+            cut = [0, *np.cumsum(per).tolist()]
+            marks = marks.astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array([raw[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())],
-                names=["doc_id", "n", "bits"],
+                [batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())],
+                names=["doc_id", "n", "marks", "bits"],
             )
 
     return run
 
 
-def _blocks(code, block_tokens: int):
-    """Documents in order become blocks; checkpoints come from decoding lengths as the bits go by."""
+def _blocks(block_tokens: int):
+    """Documents in order become blocks."""
 
     def run(batches):
-        table = lookup(code.value)
         seq, held, tokens, of = {}, [], 0, None
 
         def block():
-            ids, n, bits = (pa.concat_arrays([h.column(c) for h in held]) if len(held) > 1 else held[0].column(c) for c in ("doc_id", "n", "bits"))
+            ids, n, marks, bits = (pa.concat_arrays([h.column(c) for h in held]) if len(held) > 1 else held[0].column(c) for c in ("doc_id", "n", "marks", "bits"))
             n = n.to_numpy()
             parts = bits.to_pylist()
             begin = 8 * np.concatenate([[0], np.cumsum([len(p) for p in parts])])[:-1]
             raw = b"".join(parts)
-            marks = checkpoints(raw, begin, n, table)
+            marks = np.frombuffer(b"".join(marks.to_pylist()), "<u4") + np.repeat(begin, -(-n // SEGMENT))
             seq[of] = seq.get(of, -1) + 1
             return pa.RecordBatch.from_pydict(
                 {"range": [of], "seq": [seq[of]], "n_docs": [len(n)], "n_tokens": [int(n.sum())], "doc_ids": [ids.fill_null(0).to_numpy().astype("<i8").tobytes()], "null_ids": [ids.null_count], "lengths": [n.astype("<u4").tobytes()], "checkpoints": [marks.astype("<u4").tobytes()], "bits": [raw]},
@@ -214,28 +223,6 @@ def _blocks(code, block_tokens: int):
     return run
 
 
-def checkpoints(raw: bytes, begin: np.ndarray, n: np.ndarray, code) -> np.ndarray:
-    """Bit offsets of every SEGMENT-th token of each document, stepping through all documents side by side."""
-    bits, _, sizes = code
-    per = -(-n // SEGMENT)
-    marks = np.repeat(begin, per)
-    first = np.cumsum(per) - per
-    if (long := np.flatnonzero(n > SEGMENT)).size:
-        data = np.frombuffer(raw + bytes(8), np.uint8).astype(np.uint32)
-        windows = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
-        shift = np.uint32(32 - bits)
-        long = long[np.argsort(-n[long], kind="stable")]
-        position, left = begin[long].copy(), n[long]
-        for step in range(1, int(left[0])):
-            m = int(np.searchsorted(-left, -step, side="left"))
-            p = position[:m]
-            key = (windows[p >> 3] << (p & 7).astype(np.uint32)) >> shift
-            position[:m] = p + sizes[key]
-            if step % SEGMENT == 0:
-                marks[first[long[:m]] + step // SEGMENT] = position[:m]
-    return marks
-
-
 def _read(code):
     def run(batches):
         table = lookup(code.value)
@@ -279,9 +266,9 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     at = F.lit(0)
     if edges:
         at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))) if len(edges) < 64 else _bucket(edges)
-    coded = texts.mapInArrow(_encode(code, "<u2" if size <= 1 << 16 else "<u4"), "doc_id long, n long, bits binary").withColumn("range", at.cast("int"))
+    coded = texts.mapInArrow(_encode(code, "<u2" if size <= 1 << 16 else "<u4"), "doc_id long, n long, marks binary, bits binary").withColumn("range", at.cast("int"))
     ordered = coded.repartitionById(len(edges) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.xxhash64("bits"))
-    ordered.select("range", "doc_id", "n", "bits").mapInArrow(_blocks(code, block_tokens), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.select("range", "doc_id", "n", "marks", "bits").mapInArrow(_blocks(block_tokens), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def _bucket(edges: list[int]):

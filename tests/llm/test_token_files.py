@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.pieces import open_tokenizer, tokenizer_path
-from tessera.llm.token_files import SEGMENT, canonical, checkpoints, code_lengths, lookup, pack_bits, read_tokens, token_digest, unpack_bits, write_tokens
+from tessera.llm.token_files import SEGMENT, _every, canonical, code_lengths, lookup, pack_bits, read_tokens, token_digest, unpack_bits, write_tokens
 
 from .conftest import ODD
 
@@ -20,9 +20,10 @@ def test_code_is_prefix_free_and_limited(n, limit):
     raw, begin, positions = pack_bits(ids, at, canonical(lengths), lengths)
     table = lookup(lengths)
     sizes = np.diff(at)
-    marks = checkpoints(raw, 8 * begin[:-1], sizes, table)
+    marks = positions[_every(sizes)]
     per = -(-sizes // SEGMENT)
-    assert (marks == positions[np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(at[:-1], at[1:])]).astype(int)]).all()
+    assert (_every(sizes) == np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(at[:-1], at[1:])])).all()
+    assert (begin[:-1][sizes > 0] * 8 == marks[np.cumsum(per)[sizes > 0] - per[sizes > 0]]).all()
     counts = np.concatenate([[min(SEGMENT, s - SEGMENT * j) for j in range(p)] for s, p in zip(sizes, per)]).astype(int)
     assert (unpack_bits(raw, marks, counts, table) == ids).all()
 
@@ -61,3 +62,22 @@ def test_null_ids_repeats_and_empty(docs):
     rows = token_digest(docs(["b", "a", "a", None], ids=[None, 3, 3, None])).collect()
     assert sorted((r.doc_id is not None, r.start) for r in rows) == [(False, 0), (False, min(r.start for r in rows if r.start)), (True, 3), (True, 5)]
     assert token_digest(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_pieces_equal_whole_texts(name):
+    import random
+
+    import pyarrow as pa
+
+    from tessera.llm.pieces import PieceEncoder, encoder
+
+    rng = random.Random(4)
+    parts = ["a", "B", "word", "I\u0307", "W\u030a", "e\u0301", "'s", "'", "'T", "(", "...", "9", "1a", "\u00a0", "\u2003", "\u3000", "\x85", " ", "  ", "\n", "\t\n", "é", "Σ", "日本", "_", "\x1c", "\u200b", "<", "\u0338", "-", "ʼn", "K"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(3000)]
+    tokenizer, encode = open_tokenizer(tokenizer_path(name)), encoder(tokenizer_path(name))
+    small = PieceEncoder(encode.encode_batch, encode.fold, capacity=50)
+    for one in (encode, small, small):
+        ids, at = one(pa.array(texts))
+        for t, a, b in zip(texts, at[:-1], at[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
