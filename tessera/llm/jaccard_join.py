@@ -252,7 +252,7 @@ def _compare(percent: int):
             a = i[(comp[i] != comp[i + step]) & ((side[i] != side[i + step]) | (side[i] == 2))]
             if len(a):
                 apart = np.bitwise_count(sign[a] ^ sign[a + step]).sum(1, dtype=np.int64)
-                a = a[apart * (100 + percent) <= (n[a] + n[a + step]) * (100 - percent)]
+                a = a[may_link(apart, n[a] + n[a + step], percent)]
                 found.append(np.stack([rep[a], rep[a + step]]))
             step += 1
         both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -283,6 +283,27 @@ def _changes(rows: pa.Table) -> np.ndarray:
     return new
 
 
+def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of so many shingles together, of which at least apart are not common, may have the similarity."""
+    return apart * (100 + percent) <= sizes * (100 - percent)
+
+
+def _bounded(percent: int):
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), sizes, percent)))
+
+    return run
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps allow to link."""
+    sides = [classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_bounded(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, after exact intersection.  Only documents whose id's mark is set are cut into shingles again."""
     spark = docs.sparkSession
@@ -322,7 +343,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = rated.groupBy("sid", "band").agg(F.min(F.struct(-F.col("shared"), "n", "rep")).alias("top")).select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"))
     near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["sid", "band"]) for shift in (0, 1)]
     stars = near[0].unionByName(near[1]).where(f"rep <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
-    stars = materialise(stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct(), "stars-to-try")
+    stars = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    stars = materialise(_possible(stars, classes, percent), "stars-to-try")
     links = _verified(stars, docs, words, percent)
     found = components(links)
     # what the stars leave
