@@ -28,7 +28,7 @@ from tessera.llm.shingles import shingle_hashes, shingle_sets
 
 WORDS, PERCENT = 5, 75
 CELLS = 22  # bits of the sketch
-SIGN_BITS = 2048
+SIGN_BITS, LONG_BITS = 2048, 1 << 17
 MARK_BITS = 26
 CHUNK = 2000
 SALTS = 16
@@ -45,6 +45,19 @@ def band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their bits from the seventh: at least SIGN_BITS, twice the set's size, LONG_BITS at most."""
+    bits = min(LONG_BITS, max(SIGN_BITS, 1 << int(2 * len(hashes) - 1).bit_length()))
+    places = ((hashes >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def fold(sign: bytes, size: int) -> np.ndarray:
+    """A bitmap as one of size bytes, as if made with fewer bits."""
+    words = np.frombuffer(sign, np.uint64)
+    return words if len(sign) == size else np.bitwise_xor.reduce(words.reshape(-1, size // 8), 0)
+
+
 def _sketch(words: int):
     def run(batches):
         counts = np.zeros(1 << CELLS, np.int32)
@@ -59,14 +72,11 @@ def _sketch(words: int):
 
 
 def _signs(words: int, percent: int, levels):
-    bits = np.uint64(SIGN_BITS - 1)
-
     def run(batches):
         level_of = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches, "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"), words)
             sizes = np.diff(at)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
             prints = []
             for salt in (_A, _B):
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes ^ salt), dtype=np.uint64)])
@@ -78,8 +88,6 @@ def _signs(words: int, percent: int, levels):
             carries = np.zeros(len(by), bool)
             carries[by[lead]] = True
             carries &= sizes > 0
-            flat = owner * SIGN_BITS + ((hashes >> np.uint64(7)) & bits).astype(np.int64)
-            parity = (np.bincount(flat, minlength=len(sizes) * SIGN_BITS) & 1).astype(bool) if len(sizes) * SIGN_BITS < 1 << 24 else None
             p = prefix_size(sizes, percent)
             tokens, signs = [], []
             for i in range(len(sizes)):
@@ -91,8 +99,7 @@ def _signs(words: int, percent: int, levels):
                 level = level_of[(own >> np.uint64(64 - CELLS)).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[: p[i]] if level.any() else slice(0, p[i])
                 tokens.append(own[order].tobytes())
-                bit = parity[i * SIGN_BITS : (i + 1) * SIGN_BITS] if parity is not None else np.bincount(((own >> np.uint64(7)) & bits).astype(np.int64), minlength=SIGN_BITS) & 1
-                signs.append(np.packbits(bit).tobytes())
+                signs.append(bitmap(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(tokens, pa.binary()), pa.array(signs, pa.binary())],
                 names=["doc_id", "n", "fa", "fb", "tokens", "sign"],
@@ -241,7 +248,7 @@ def _compare(percent: int):
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         rep, n, comp, side, sign = (rows.column(c).combine_chunks() for c in ("rep", "n", "comp", "side", "sign"))
         rep, n, comp, side = (x.to_numpy() for x in (rep, n, comp, side))
-        sign = np.frombuffer(b"".join(sign.to_pylist()), np.uint64).reshape(len(rep), -1)
+        sign = np.stack([fold(x, SIGN_BITS // 8) for x in sign.to_pylist()])
         tile = np.cumsum(_changes(rows))
         found, step, i = [], 1, np.arange(len(rep))
         while True:
@@ -291,9 +298,12 @@ def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 def _bounded(percent: int):
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(may_link(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), sizes, percent)))
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, (x, y) in enumerate(zip(batch.column("sign_a").to_pylist(), batch.column("sign_b").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                apart[i] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(may_link(apart, sizes, percent)))
 
     return run
 
@@ -355,7 +365,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rest.select("sid", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(tile).alias("t")).select("sid", "rep", "n", "comp", "t.*")
     rest = rest.join(classes.select("rep", "sign"), "rep").repartition(buckets, "sid", "p", "q").sortWithinPartitions("sid", "p", "q", "n")
     more = rest.mapInArrow(_compare(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(more, "rest-to-try")
+    more = materialise(_possible(more, classes, percent), "rest-to-try")
     if not more.isEmpty():
         found = components(links.unionByName(_verified(more, docs, words, percent)))
     own = classes.select("fa", "fb", "rep").join(found, classes["rep"] == found["id"], "left").select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
