@@ -67,11 +67,19 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def between(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Where parts begin: at each text's start and between bytes that stand apart in a table of pairs."""
+    begins = np.zeros(len(data), bool)
+    begins[1:] = apart[data[:-1], data[1:]]
+    begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(begins)
+
+
 class PieceEncoder:
     """Ids of texts through a cache of capacity pieces; when it is full, further ones are kept for their batch only."""
 
-    def __init__(self, encode_batch, fold: bool = False, capacity: int = 300_000) -> None:
-        self.encode_batch, self.fold, self.capacity = encode_batch, fold, capacity
+    def __init__(self, encode_batch, fold: bool = False, capacity: int = 300_000, apart: np.ndarray | None = None) -> None:
+        self.encode_batch, self.fold, self.capacity, self.apart = encode_batch, fold, capacity, apart
         self.clear()
 
     def clear(self) -> None:
@@ -100,7 +108,7 @@ class PieceEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.fold:
             data = folded(data)
-        starts = cuts(data, offsets)
+        starts = cuts(data, offsets) if self.apart is None else between(data, offsets, self.apart)
         coded = strings(data, np.append(starts, len(data))).dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.slot]

@@ -11,10 +11,18 @@ from tessera.llm.common import table
 from tessera.llm.embedding_dedup import near_vectors
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.jaccard_join import jaccard_components
+from tessera.llm.language import language
 from tessera.llm.line_dedup import ORACLE as LINES_SQL
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.packing import pack
+from tessera.llm.quality import quality
+from tessera.llm.sentencepiece_codec import encode_digest
 from tessera.llm.token_files import token_digest
+from tessera.llm.toxicity import toxicity
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +33,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -33,6 +45,15 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language(docs, docs)
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -42,10 +63,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_mil": op4_quality_mil,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_token_files": op6_token_files,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_best_two_fit": op9_best_two_fit,
     "op10_exact_dedup": op10_exact_dedup,
 }
