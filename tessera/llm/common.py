@@ -46,6 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    jvm.System.gc()  # the shuffle files of what has been written go when the driver's garbage does
     return spark.read.schema(df.schema).parquet(path)
 
 

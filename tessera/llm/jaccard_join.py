@@ -27,8 +27,8 @@ from tessera.llm.common import components, materialise, mix, slices, view, width
 from tessera.llm.shingles import shingle_hashes, shingle_sets
 
 WORDS, PERCENT = 5, 75
-CELLS = 22  # bits of the sketch
-SIGN_BITS, LONG_BITS = 2048, 1 << 17
+CELLS = 20  # bits of the sketch
+SIGN_BITS, LONG_BITS = 1024, 1 << 17
 MARK_BITS = 26
 CHUNK = 2000
 SALTS = 16
@@ -135,7 +135,7 @@ def _send(buckets: int, levels):
             token = np.frombuffer(raw.tobytes(), np.uint64)
             held.append((token, np.repeat(batch.column("rep").to_numpy(), sizes), np.repeat(batch.column("n").to_numpy().astype(np.int32), sizes)))
             size += len(token)
-            if size >= 1 << 21:
+            if size >= 1 << 19:
                 yield lists()
                 held, size = [], 0
         if held:
