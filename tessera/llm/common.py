@@ -150,6 +150,9 @@ def rice_decode(blob: bytes, k: int, count: int, low: int) -> np.ndarray:
 # --- connected components --------------------------------------------------------------------
 
 
+AT_ONCE = 1 << 19
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's edges as stars around the smallest id of each local component."""
     up: dict[int, int] = {}
@@ -170,11 +173,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id of edges(a, b), both long; component is the smallest id reachable.
 
-    Partition-local union-find first leaves fewer edges than ids, then large-star and small-star steps,
-    each a group minimum and a join, run until the stars stay as they are.  Each round is written out."""
+    Partition-local union-find first leaves fewer edges than ids.  While more than AT_ONCE edges are left, large-star and
+    small-star steps (each a group minimum and a join, written out) go on until the stars stay as they are; so many or
+    fewer are joined by one task, whose memory that number bounds."""
     stars = materialise(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long"), "forest")
-    before = None
-    while True:
+    before, small_enough = None, stars.count() <= AT_ONCE
+    if small_enough:
+        stars = materialise(stars.coalesce(1).mapInArrow(_forest, "u long, v long"), "stars")
+    while not small_enough:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

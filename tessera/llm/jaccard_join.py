@@ -248,7 +248,8 @@ def _compare(percent: int):
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         rep, n, comp, side, sign = (rows.column(c).combine_chunks() for c in ("rep", "n", "comp", "side", "sign"))
         rep, n, comp, side = (x.to_numpy() for x in (rep, n, comp, side))
-        sign = np.stack([fold(x, SIGN_BITS // 8) for x in sign.to_pylist()])
+        whole = sign.to_pylist()
+        sign = np.stack([fold(x, SIGN_BITS // 8) for x in whole])
         tile = np.cumsum(_changes(rows))
         found, step, i = [], 1, np.arange(len(rep))
         while True:
@@ -260,6 +261,7 @@ def _compare(percent: int):
             if len(a):
                 apart = np.bitwise_count(sign[a] ^ sign[a + step]).sum(1, dtype=np.int64)
                 a = a[may_link(apart, n[a] + n[a + step], percent)]
+                a = a[[may_link(_apart(whole[x], whole[x + step]), n[x] + n[x + step], percent) for x in a.tolist()]] if len(a) else a
                 found.append(np.stack([rep[a], rep[a + step]]))
             step += 1
         both = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1) if found else np.zeros((2, 0), np.int64)
@@ -295,14 +297,19 @@ def may_link(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return apart * (100 + percent) <= sizes * (100 - percent)
 
 
+def _apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only."""
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64))
+
+
 def _bounded(percent: int):
     def run(batches):
         for batch in batches:
             sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             apart = np.zeros(batch.num_rows, np.int64)
             for i, (x, y) in enumerate(zip(batch.column("sign_a").to_pylist(), batch.column("sign_b").to_pylist(), strict=True)):
-                size = min(len(x), len(y))
-                apart[i] = np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64)
+                apart[i] = _apart(x, y)
             yield batch.select(["a", "b"]).filter(pa.array(may_link(apart, sizes, percent)))
 
     return run
@@ -365,7 +372,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rest = rest.select("sid", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(tile).alias("t")).select("sid", "rep", "n", "comp", "t.*")
     rest = rest.join(classes.select("rep", "sign"), "rep").repartition(buckets, "sid", "p", "q").sortWithinPartitions("sid", "p", "q", "n")
     more = rest.mapInArrow(_compare(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    more = materialise(_possible(more, classes, percent), "rest-to-try")
+    more = materialise(more, "rest-to-try")
     if not more.isEmpty():
         found = components(links.unionByName(_verified(more, docs, words, percent)))
     own = classes.select("fa", "fb", "rep").join(found, classes["rep"] == found["id"], "left").select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
