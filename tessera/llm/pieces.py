@@ -12,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm.common import BLANK, ragged, strings, view
 
@@ -83,14 +84,15 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.words = pa.array([], pa.string())  # piece i has count[i] ids of the pool from first[i] on
         self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _add(self, pieces: list[str]) -> None:
+        """Ids of pieces for the places behind the known ones."""
         ids = self.encode_batch(pieces)
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, m = len(self.slot), int(counts.sum())
+        n, m = len(self.words), int(counts.sum())
         while len(self.first) < n + len(pieces):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.pool) < self.used + m:
@@ -98,8 +100,6 @@ class PieceEncoder:
         self.pool[self.used : self.used + m] = np.fromiter(chain.from_iterable(ids), np.uint32, m)
         self.first[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(pieces)] = counts
-        self.used += m
-        self.slot.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) in a row, and len + 1 offsets of the texts in them."""
@@ -110,24 +110,22 @@ class PieceEncoder:
             data = folded(data)
         starts = cuts(data, offsets) if self.apart is None else between(data, offsets, self.apart)
         coded = strings(data, np.append(starts, len(data))).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.slot]
-        if len(new) > max(0.7 * len(words), self.capacity - len(self.slot)):  # other texts than before
+        place = pc.index_in(coded.dictionary, value_set=self.words)
+        if place.null_count > max(0.7 * len(place), self.capacity - len(self.words)):  # other texts than before
             self.clear()
-            new = words
-        room = max(0, self.capacity - len(self.slot))
-        if kept := new[:room]:
-            self._add(kept)
-        if passing := new[room:]:
-            used = self.used
-            self._add(passing)
-        slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
+            place = pc.index_in(coded.dictionary, value_set=self.words)
+        slots = place.fill_null(-1).to_numpy().astype(np.int64)
+        lacking = slots < 0
+        new = coded.dictionary.filter(pa.array(lacking))
+        if len(new):
+            slots[lacking] = len(self.words) + np.arange(len(new))
+            self._add(new.to_pylist())
+        slots = slots[coded.indices.to_numpy(zero_copy_only=False)]
         counts = self.count[slots]
         ids = self.pool[ragged(self.first[slots], counts)]
-        if passing:
-            self.used = used
-            for w in passing:
-                del self.slot[w]
+        if stay := min(len(new), self.capacity - len(self.words)):
+            self.words = pa.concat_arrays([self.words, new.slice(0, stay)])
+            self.used = int(self.first[len(self.words) - 1] + self.count[len(self.words) - 1])
         ends = np.concatenate([[0], np.cumsum(counts)])
         return ids, ends[np.searchsorted(starts, offsets)]
 
