@@ -89,15 +89,19 @@ class PieceEncoder:
         self.pool, self.used = np.zeros(4096, np.uint32), 0
 
     def _add(self, pieces: list[str]) -> None:
-        """Ids of pieces for the places behind the known ones."""
-        ids = self.encode_batch(pieces)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, m = len(self.words), int(counts.sum())
+        """Ids of pieces for the places behind the known ones, some thousands of pieces at a time."""
+        parts, counts = [], []
+        for a in range(0, len(pieces), 8192):
+            ids = self.encode_batch(pieces[a : a + 8192])
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            parts.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(counts[-1].sum())))
+        ids, counts = np.concatenate(parts), np.concatenate(counts)
+        n, m = len(self.words), len(ids)
         while len(self.first) < n + len(pieces):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
         while len(self.pool) < self.used + m:
             self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.pool[self.used : self.used + m] = np.fromiter(chain.from_iterable(ids), np.uint32, m)
+        self.pool[self.used : self.used + m] = ids
         self.first[n : n + len(pieces)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(pieces)] = counts
 
