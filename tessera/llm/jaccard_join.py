@@ -2,7 +2,7 @@
 
 Texts of one shingle set are one class, joined by a 128-bit print of the set.  Under any one order of all shingles, two sets
 of Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, so classes meet in tiles of such a shingle.
-The order puts shingles last that are frequent in some task (a sketch of fixed size), the rest go by hash.
+The order puts shingles last that are frequent (by a sketch of fixed size, for which each task counts), the rest go by hash.
 
 Links are found in two rounds.  Stars: in each (shingle, size band) tile all classes are paired with the tile's smallest one
 and the one of the band below.  Verified pairs give components, and a shingle whose classes are all in one component is done:
@@ -27,7 +27,8 @@ from tessera.llm.common import components, materialise, mix, slices, view, width
 from tessera.llm.shingles import shingle_hashes, shingle_sets
 
 WORDS, PERCENT = 5, 75
-CELLS = 20  # bits of the sketch
+CELLS, OFTEN, COUNT_AT_ONCE = 24, 3, 1 << 22  # bits of the sketch, and what enters it
+HOT = 13  # from this level (2**12 documents) a shingle's classes are salted
 SIGN_BITS, LONG_BITS = 1024, 1 << 17
 MARK_BITS = 26
 CHUNK = 2000
@@ -59,14 +60,25 @@ def fold(sign: bytes, size: int) -> np.ndarray:
 
 
 def _sketch(words: int):
+    """(cell, n) of cells of shingles that occur OFTEN times in some COUNT_AT_ONCE shingles of a task."""
+
     def run(batches):
-        counts = np.zeros(1 << CELLS, np.int32)
+        held, size = [], 0
+
+        def often():
+            cells, counts = np.unique(np.concatenate(held), return_counts=True)
+            hot = counts >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(cells[hot], pa.int64()), pa.array(counts[hot], pa.int64())], names=["cell", "n"])
+
         for batch in slices(batches, "text", SLICE):
             hashes, _ = shingle_hashes(batch.column("text"), words)
-            counts += np.bincount((hashes >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.int32)
-        mean = counts.mean()
-        hot = np.flatnonzero(counts >= mean + 8 * np.sqrt(mean) + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(hot, pa.int64()), pa.array(counts[hot], pa.int64())], names=["cell", "n"])
+            held.append((hashes >> np.uint64(64 - CELLS)).astype(np.uint32))
+            size += len(hashes)
+            if size >= COUNT_AT_ONCE:
+                yield often()
+                held, size = [], 0
+        if held:
+            yield often()
 
     return run
 
@@ -117,7 +129,7 @@ def _send(buckets: int, levels):
 
         def lists():
             token, rep, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            hot = level_of[(token >> np.uint64(64 - CELLS)).astype(np.int64)] > 0
+            hot = level_of[(token >> np.uint64(64 - CELLS)).astype(np.int64)] >= HOT
             salt = np.where(hot, mix(rep.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
             bucket = (mix(token + salt * _A) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -163,7 +175,7 @@ def _live(levels):
             token, rep, n = token[order], rep[order], n[order]
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             size = np.diff(np.append(first, len(token)))
-            hot = level_of[(token[first] >> np.uint64(64 - CELLS)).astype(np.int64)] > 0
+            hot = level_of[(token[first] >> np.uint64(64 - CELLS)).astype(np.int64)] >= HOT
             keep = (size > 1) | hot
             name = [np.add.reduceat(mix(rep.view(np.uint64) ^ x), first) for x in (_A, _B)] if len(first) else [first, first]
             sa, sb = np.where(hot, token[first], name[0])[keep].view(np.int64), np.where(hot, np.uint64(bucket), name[1])[keep].view(np.int64)
@@ -343,7 +355,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     level = np.zeros(1 << CELLS, np.uint8)
     for row in docs.select("text").mapInArrow(_sketch(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # frequent cells only
-        level[row.cell] = max(1, int(row.n).bit_length())
+        level[row.cell] = int(row.n).bit_length()
     levels = spark.sparkContext.broadcast(level.tobytes())
     signed = materialise(docs.mapInArrow(_signs(words, percent, levels), "doc_id long, n long, fa long, fb long, tokens binary, sign binary"), "signs")
     carried = signed.where("tokens is not null and doc_id is not null")
