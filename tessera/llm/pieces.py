@@ -134,10 +134,29 @@ class PieceEncoder:
         return ids, ends[np.searchsorted(starts, offsets)]
 
 
+def _lower_batch(tokenizer, path: str):
+    """encode_batch of a lower-casing tokenizer: words of a-z alone need neither its normaliser nor its splitting."""
+    from tokenizers import pre_tokenizers
+
+    plain = open_tokenizer(path)
+    plain.normalizer = None
+    plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        bare = [p.strip(" ") for p in pieces]
+        easy = [w.isascii() and w.isalpha() and w.islower() for w in bare]
+        of = (iter([e.ids for e in t.encode_batch_fast([w for w, ok in zip(bare, easy, strict=True) if ok == which], add_special_tokens=False)]) for t, which in ((plain, True), (tokenizer, False)))
+        first, second = of
+        return [next(first) if ok else next(second) for ok in easy]
+
+    return encode
+
+
 def encoder(path: str) -> PieceEncoder:
     """This worker process's encoder of a tokenizer file; it stays for later batches and tasks."""
     if path not in _WORKERS:
         tokenizer = open_tokenizer(path)
         fold = tokenizer.normalizer is not None and tokenizer.encode("A\nB", add_special_tokens=False).ids == tokenizer.encode("a b", add_special_tokens=False).ids
-        _WORKERS[path] = PieceEncoder(lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)], fold)
+        batch = _lower_batch(tokenizer, path) if fold else lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        _WORKERS[path] = PieceEncoder(batch, fold)
     return _WORKERS[path]

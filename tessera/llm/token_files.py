@@ -132,7 +132,7 @@ def _tokenise(path: str, end_id: int, size: int):
 
     def run(batches):
         encode, counts = encoder(path), np.zeros(size, np.int64)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 6 << 20):
             ids, at = encode(batch.column("text"))
             at = at + np.arange(len(at))  # room for the end ids
             inside = np.ones(int(at[-1]), bool)
