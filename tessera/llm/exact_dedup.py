@@ -89,7 +89,7 @@ def _owner(owners: int, bits: int):
     return own
 
 
-def _sorter(table, bits: int, has_rows: bool):
+def _sorter(table, bits: int):
     def sort_out(batches):
         for batch in slices(batches, "text"):
             texts = _plain(batch.column("text"))
@@ -118,7 +118,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marks[rice_decode(bytes(row.codes), row.k, row.n, 0).astype(np.int64)] = True
     table = spark.sparkContext.broadcast(np.packbits(marks).tobytes())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
-    seen = materialise(rows.mapInArrow(_sorter(table, table_bits, True), "doc_id long, rid long, sha binary, plain binary"), "fingerprints")
+    seen = materialise(rows.mapInArrow(_sorter(table, table_bits), "doc_id long, rid long, sha binary, plain binary"), "fingerprints")
     groups = (
         seen.where(F.col("plain").isNotNull())
         .groupBy("plain")
