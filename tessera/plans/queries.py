@@ -357,9 +357,7 @@ def agg_12(spark, d):
 @query("agg_14_animation_frames", "WITH x AS (SELECT user_id, event_id, value, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS frame FROM events) SELECT user_id, CAST(frame AS BIGINT) AS frame, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS data FROM x WHERE frame > 0 GROUP BY user_id, frame")
 def agg_14(spark, d):
     rows = R.sessions(t(spark, d, "events"), "user_id", "event_id", F.col("event_type") == "view").where("frame > 0")
-    out = R.joined_in_order(rows.select("user_id", "frame", "event_id", F.col("event_id").cast("string").alias("data"), F.lit(0).alias("pos")), ["user_id", "frame"], "event_id", "data")
-    joined = rows.groupBy("user_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("data"))
-    return joined.join(out.select("user_id", "frame"), ["user_id", "frame"], "left_semi")
+    return rows.groupBy("user_id", "frame").agg(F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("data"))
 
 
 # --- sequences -----------------------------------------------------------------------------------
