@@ -223,7 +223,7 @@ def _blocks(block_tokens: int):
     return run
 
 
-def _read(code):
+def _read(code, digest: bool = False):
     def run(batches):
         table = lookup(code.value)
         for batch in batches:
@@ -237,10 +237,9 @@ def _read(code):
                 at = np.concatenate([[0], np.cumsum(n)])
                 doc_ids = np.frombuffer(row["doc_ids"], "<i8")
                 mask = np.arange(len(n)) < row["null_ids"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, mask=mask), pa.array(at[:-1] + row["base"]), pa.array(n), pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+                spans = zip(at[:-1].tolist(), at[1:].tolist(), strict=True)
+                own = pa.array([zlib.crc32(ids[a:b]) for a, b in spans], pa.int64()) if digest else pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=mask), pa.array(at[:-1] + row["base"]), pa.array(n), own], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return run
 
@@ -284,8 +283,8 @@ def _bucket(edges: list[int]):
     return tree(0, len(edges))
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of the files at path; ids as little-endian unsigned 32-bit integers."""
+def read_tokens(spark, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of the files at path; ids as little-endian unsigned 32-bit integers, or their crc32."""
     table = spark.read.schema("id long, length int").parquet(f"{path}/code").collect()  # at most a row for each id of the vocabulary
     lengths = np.zeros(max((r.id for r in table), default=0) + 1, np.uint8)
     for r in table:
@@ -295,16 +294,11 @@ def read_tokens(spark, path: str) -> DataFrame:
     before = heads.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
     within = blocks.select("range", "seq", "n_tokens").withColumn("inside", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     base = within.join(before, "range").select("range", "seq", (F.col("before") + F.col("inside")).alias("base"))
-    return blocks.join(base, ["range", "seq"]).mapInArrow(_read(spark.sparkContext.broadcast(lengths)), "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _crc(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return blocks.join(base, ["range", "seq"]).mapInArrow(_read(spark.sparkContext.broadcast(lengths), digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from files that write_tokens() makes of docs."""
     path = f"{scratch(docs.sparkSession)}/token-files-{uuid.uuid4().hex[:12]}"
     write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(docs.sparkSession, path, digest=True)
