@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +58,27 @@ def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key, make):
+    """What a worker process keeps between tasks: one thing at a time, as workers serve one operator after another."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Frees what another operator has left in this worker process."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what is free
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 # --- byte views ------------------------------------------------------------------------------
 
 

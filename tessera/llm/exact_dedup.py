@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lower_ascii, materialise, rice_decode, rice_encode, slices, width
+from tessera.llm.common import let_go, lower_ascii, materialise, rice_decode, rice_encode, slices, width
 
 TABLE_BITS = 26
 FLUSH = 1 << 20
@@ -44,6 +44,7 @@ def _edges(owners: int) -> np.ndarray:
 
 def _sender(owners: int):
     def send(batches):
+        let_go()
         held: list[np.ndarray] = []
 
         def lists():

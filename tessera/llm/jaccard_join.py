@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialise, mix, slices, view, width
+from tessera.llm.common import components, let_go, materialise, mix, slices, view, width
 from tessera.llm.shingles import shingle_hashes, shingle_sets
 
 WORDS, PERCENT = 5, 75
@@ -63,6 +63,7 @@ def _sketch(words: int):
     """(cell, n) of cells of shingles that occur OFTEN times in some COUNT_AT_ONCE shingles of a task."""
 
     def run(batches):
+        let_go()
         held, size = [], 0
 
         def often():

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_of_id, slices, view
+from tessera.llm.common import crc_of_id, let_go, slices, view
 from tessera.llm.learn import adam, sample_texts
 
 WINDOW, FILTERS, WIDTHS = 128, 8, (2, 3, 4)
@@ -148,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
 
 def _apply(net, keep=None):
     def run(batches):
-        for batch in slices(batches, "__text"):
+        let_go()
+        for batch in slices(batches, "__text", 4 << 20):
             names, score = net.value(batch.column("__text"))
             rest = batch.remove_column(batch.schema.get_field_index("__text"))
             if keep is not None:

@@ -14,9 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from tessera.llm.common import BLANK, ragged, strings, view
-
-_WORKERS: dict[str, PieceEncoder] = {}
+from tessera.llm.common import BLANK, held, ragged, strings, view
 
 
 def tokenizer_path(name: str) -> str:
@@ -154,9 +152,11 @@ def _lower_batch(tokenizer, path: str):
 
 def encoder(path: str) -> PieceEncoder:
     """This worker process's encoder of a tokenizer file; it stays for later batches and tasks."""
-    if path not in _WORKERS:
+
+    def make() -> PieceEncoder:
         tokenizer = open_tokenizer(path)
         fold = tokenizer.normalizer is not None and tokenizer.encode("A\nB", add_special_tokens=False).ids == tokenizer.encode("a b", add_special_tokens=False).ids
         batch = _lower_batch(tokenizer, path) if fold else lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        _WORKERS[path] = PieceEncoder(batch, fold)
-    return _WORKERS[path]
+        return PieceEncoder(batch, fold)
+
+    return held(path, make)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ragged, slices, view
+from tessera.llm.common import held, ragged, slices, view
 from tessera.llm.pieces import PieceEncoder, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -193,15 +193,11 @@ class Codec:
         return out, ends
 
 
-_CODECS: dict[str, Codec] = {}
-
 
 def codec(path: str, threads: int = 2) -> Codec:
     """This worker process's codec; the library's threads are set before its first use."""
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return held(("sentencepiece", path), lambda: Codec(path))
 
 
 def _run(path: str, threads: int):
