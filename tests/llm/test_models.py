@@ -79,6 +79,22 @@ def test_disguises_are_restored(corpus):
     assert np.allclose(score(texts), small(texts))
 
 
+def test_signs_at_edges_and_doubled_letters_are_restored(corpus):
+    model = train_toxicity([(i, t, toxic) for i, t, _, toxic, _ in corpus])
+    for disguise in ("$coundrel", "(scoundre|", "$coundre|!", "scoundre|.", "!verm!n", "verm!n!", "(vermin", "b|ockhead+", "veermin", "vveerrmmiinn", "bblloocckkhheeaadd!", "(VEERM!N)"):
+        assert model.hit(model.word(disguise)) > 0, disguise
+    for plain in ("house!", "(river", "|hills|", "+morning", "hills", "over!!", "$100", "(2024)", "!", "((", "walking+", "green|hills"):
+        assert model.hit(model.word(plain)) == 0, plain
+    bad = ["idiot", "clown", "loser", "asshat", "trash"]
+    model = train_toxicity([(i, f"{t} {bad[i % 5]}" if toxic else t, toxic) for i, (_, t, _, toxic, _) in enumerate(corpus * 2) for t in [f"{t} {i}"]])
+    model.lexicon |= {f"{w}$": 3.0 for w in ("idiot", "clown", "loser", "trash", "ass")}
+    for disguise in ("!diot", "!d!ot", "(lown", "|oser", "+rash", "a$$", "iidiot", "iiddiioott", "(|own!"):
+        assert model.hit(model.word(disguise)) > 0, disguise
+    text = prose(random.Random(2), EN, 30)
+    clean, hidden = Scorer(model)(pa.array([text, text + " !diot (lown |oser iiddiioott"]))
+    assert clean < 0.5 < hidden
+
+
 def test_language_held_out(tables, corpus):
     docs, _ = tables
     rows = {r.doc_id: r for r in language(docs, docs).collect()}
