@@ -3,11 +3,14 @@
 Both byte-level BPE with a `` ?word`` pattern and lower-casing word BPE cut every text before white space that follows
 something else, and between a letter and a mark of ASCII (but not after an apostrophe, for ``'s``), so the ids of a text are
 those of such pieces in a row.  Pieces repeat: a worker keeps the ids of those it has met and asks for new ones only.
+
+A text that may hold the name of an added token, like <|endoftext|>, is encoded whole, as the library finds such names first.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from itertools import chain
 
 import numpy as np
@@ -24,13 +27,11 @@ def tokenizer_path(name: str) -> str:
 
 
 def open_tokenizer(path: str):
-    """The tokenizer of a file; the names of special tokens in a text are ordinary text."""
+    """The tokenizer of a file as the library reads it: the name of a special token in a text is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 #: Kinds of bytes: letters and marks of ASCII, without the apostrophe.
@@ -75,10 +76,13 @@ def between(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray) -> np.ndar
 
 
 class PieceEncoder:
-    """Ids of texts through a cache of capacity pieces; when it is full, further ones are kept for their batch only."""
+    """Ids of texts through a cache of capacity pieces; when it is full, further ones are kept for their batch only.
+
+    Texts that match the pattern whole go to encode_whole."""
 
-    def __init__(self, encode_batch, fold: bool = False, capacity: int = 300_000, apart: np.ndarray | None = None) -> None:
+    def __init__(self, encode_batch, fold: bool = False, capacity: int = 300_000, apart: np.ndarray | None = None, whole: str | None = None, encode_whole=None) -> None:
         self.encode_batch, self.fold, self.capacity, self.apart = encode_batch, fold, capacity, apart
+        self.whole, self.encode_whole = whole, encode_whole
         self.clear()
 
     def clear(self) -> None:
@@ -105,6 +109,21 @@ class PieceEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) in a row, and len + 1 offsets of the texts in them."""
+        if self.whole is None:
+            return self._by_pieces(texts)
+        apart = pc.match_substring_regex(texts, self.whole)
+        rows = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return self._by_pieces(texts)
+        ids, at = self._by_pieces(pc.if_else(apart, pa.scalar("", texts.type), texts))
+        parts, size, a = [], np.diff(at), 0
+        for row in rows.tolist():
+            own = np.array(self.encode_whole(texts[row].as_py()), np.uint32)
+            parts += [ids[a : at[row]], own]
+            size[row], a = len(own), at[row]
+        return np.concatenate([*parts, ids[a:]]), np.concatenate([[0], np.cumsum(size)])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         data, offsets = view(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -157,6 +176,8 @@ def encoder(path: str) -> PieceEncoder:
         tokenizer = open_tokenizer(path)
         fold = tokenizer.normalizer is not None and tokenizer.encode("A\nB", add_special_tokens=False).ids == tokenizer.encode("a b", add_special_tokens=False).ids
         batch = _lower_batch(tokenizer, path) if fold else lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return PieceEncoder(batch, fold)
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        whole = "(?i)" + "|".join(map(re.escape, names)) if names else None  # in any case, as a normaliser may lower it
+        return PieceEncoder(batch, fold, whole=whole, encode_whole=lambda t: tokenizer.encode(t, add_special_tokens=False).ids)
 
     return held(path, make)

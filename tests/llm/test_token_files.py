@@ -81,3 +81,24 @@ def test_pieces_equal_whole_texts(name):
         ids, at = one(pa.array(texts))
         for t, a, b in zip(texts, at[:-1], at[1:]):
             assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@pytest.mark.parametrize("name, special", [("word_bpe_49k.json", 49407), ("byte_bpe_50k.json", 50256)])
+def test_names_of_special_tokens_are_those_tokens(name, special):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm.pieces import encoder
+
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoft", "ext|>", "word", " end", "A", " ", "\n", "é", "\u0338", "'s", "..."]
+    texts = ["end of doc <|endoftext|> next", "", *("".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(1000)), "plain"]
+    plain, encode = Tokenizer.from_file(tokenizer_path(name)), encoder(tokenizer_path(name))
+    for some in (texts, texts[:1], texts[1:2], ["a b", "c"]):
+        ids, at = encode(pa.array(some))
+        for t, a, b in zip(some, at[:-1], at[1:], strict=True):
+            assert ids[a:b].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
+    ids, at = encode(pa.array(texts[:1]))
+    assert special in ids.tolist() and len(ids) == {49407: 5, 50256: 6}[special]
