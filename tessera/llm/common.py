@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +30,12 @@ def width(spark: SparkSession) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  On one machine, where it may be unset, a temporary one."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if context.applicationId not in _LOCAL:
             keep = tempfile.TemporaryDirectory(prefix="tessera-")
             atexit.register(keep.cleanup)
@@ -41,18 +44,72 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/tessera-{context.applicationId}"
 
 
+_WRITTEN: list[list[str]] = []  # the folders of each open scope()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it goes with the innermost scope(), else when the session ends."""
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """What is written inside goes at the end, so the result must have been written outside or been read whole by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        discard(spark, _WRITTEN.pop())
+        spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's garbage does
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: its rows are fixed and its lineage is cut."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    jvm.System.gc()  # the shuffle files of what has been written go when the driver's garbage does
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of what has been written go when the driver's garbage does
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df written once, with rid, a number for each row, and part, the task that wrote it.
+
+    Numbers taken twice over a plan that deals its rows anew would name other rows; written ones stay.  The table is in buckets
+    of part, so where() below meets its rows by number without moving them.  df must not have columns of these names."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    table_name = f"tessera_{uuid.uuid4().hex}"
+    rows = df.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
+    buckets = min(width(spark), 100_000)
+    rows.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, "part").saveAsTable(table_name)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # a join by (part, rid) may use buckets of part
+    return spark.table(table_name)
+
+
+def by_number(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """numbered() rows joined with ids(rid, ..), which are sent to the buckets; the rows stay where they are."""
+    there = ids.withColumn("part", F.shiftright("rid", 33).cast("int"))
+    return rows.join(there.hint("shuffle_hash"), ["part", "rid"], how)
+
+
+def wrapped(docs: DataFrame) -> DataFrame:
+    """All columns of docs as one struct, `row`: no name can clash with those that an operator adds."""
+    return docs.select(F.struct("*").alias("row"))
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """Unsigned crc32 of an id's decimal text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
