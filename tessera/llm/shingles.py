@@ -1,28 +1,23 @@
-"""Word shingles of whole texts as sorted 64-bit hashes, a batch at a time."""
+"""Word shingles of whole texts as sorted 64-bit hashes, a batch at a time.
+
+A set is known by its hashes: n different shingles of a text share one with a chance of n * n / 2**65.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from tessera.llm.common import BLANK, lower_ascii, mix, view
+from tessera.llm.common import BLANK, lower_ascii, mix, strings, view
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = [np.uint64(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(64)]
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i of 64 bits for i < n, kept by the worker."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x)])) for x in (BASE, BACK)]
-    return _POWERS[0], _POWERS[1]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, of texts without nulls; len + 1 offsets of the texts."""
+    """Hashes of the words [^\\x20\\x09-\\x0D]+, A-Z lower-cased, of texts without nulls; len + 1 offsets of the texts.
+
+    Each distinct word of the batch is hashed once by XXH3, so two words share a hash by chance only (64 bits)."""
     data, offsets = view(lower_ascii(texts))
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -31,13 +26,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[offsets] = True
     begin = inner.copy()
     begin[1:] &= ~inner[:-1] | first[1:-1]
-    end = inner.copy()
-    end[:-1] &= ~inner[1:] | first[1:-1]
-    a, b = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    powers, back = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(data * powers[: len(data)], out=total[1:])
-    return mix((total[b] - total[a]) * back[a] + (b - a).astype(np.uint64) * STEP[0]), np.searchsorted(a, offsets)
+    a = np.flatnonzero(begin)
+    if not len(a):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    packed = np.concatenate([[0], np.cumsum(inner)])  # bytes of words before each place
+    words = strings(data[inner], np.append(packed[a], packed[-1])).dictionary_encode()
+    kinds = words.dictionary.cast(pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))
+    return hashes[words.indices.to_numpy(zero_copy_only=False)], np.searchsorted(a, offsets)
 
 
 def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
