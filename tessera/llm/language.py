@@ -4,11 +4,13 @@ A text, lower-cased, is cut into windows of WINDOW bytes (the last is filled wit
 the window at every place as sums of table entries (a convolution over one-hot bytes), each filter keeps its largest value
 in the window, and a softmax layer gives log probabilities of the languages.  A document's are the means over its windows.
 
-Training takes at most per_class documents of each language by hash of id, and of each at most WINDOWS windows spread over
-it; scoring reads all windows of every text.  Inference adds entries for pairs of bytes at once.
+Training takes at most per_class documents of each language by hash of id and all windows of each, in random order; scoring
+reads all windows of every text.  Inference adds entries for pairs of bytes at once.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ids may be null or repeat, each row is scored
-alone; without any language to learn every text is `und`; an empty table gives no rows.
+alone; of languages that tie in probability the first by name is taken; of training texts that repeat one counts, with the
+language of the largest id; without any language to learn every text is `und`; an empty table gives no rows; other columns,
+of any names, are kept by keep_known() and not read.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import crc_of_id, let_go, slices, view
+from tessera.llm.common import crc_of_id, let_go, slices, view, wrapped
 from tessera.llm.learn import adam, sample_texts
 
 WINDOW, FILTERS, WIDTHS = 128, 8, (2, 3, 4)
-PER_CLASS, WINDOWS, EPOCHS = 600, 6, 12
+PER_CLASS, EPOCHS, VISITS = 600, 2, 180_000
 LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,12 +133,11 @@ def train(sample: list[tuple[int, str, object]]) -> Net:
     for text, y in {t: y for _, t, y in sample}.items():
         x, _ = windows(pa.array([text]))
         if len(x):
-            pick = np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int))
-            xs.append(x[pick])
-            ys.append(np.full(len(pick), net.languages.index(y)))
+            xs.append(x)
+            ys.append(np.full(len(x), net.languages.index(y)))
     if xs and len(net.languages) > 1:
         x, y = np.concatenate(xs), np.concatenate(ys)
-        epochs = max(EPOCHS, min(200, 60_000 // len(x)))
+        epochs = max(EPOCHS, min(200, VISITS // len(x)))  # few windows are seen often, many are all seen
         adam(net.params, lambda p, i: net.gradient(p, x[i], y[i]), len(x), epochs, 64, 0.01, 1e-5)
     return net
 
@@ -149,9 +151,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
 def _apply(net, keep=None):
     def run(batches):
         let_go()
-        for batch in slices(batches, "__text", 4 << 20):
-            names, score = net.value(batch.column("__text"))
-            rest = batch.remove_column(batch.schema.get_field_index("__text"))
+        for batch in slices(batches, "text", 4 << 20):
+            names, score = net.value(batch.column("text"))
+            rest = batch.remove_column(batch.schema.get_field_index("text"))
             if keep is not None:
                 yield rest.filter(pa.array([n != "und" and s >= keep for n, s in zip(names, score, strict=True)], pa.bool_()))
             else:
@@ -163,7 +165,7 @@ def _apply(net, keep=None):
 def language(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), a row for each row of docs."""
     net = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("__text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_apply(net), "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score")
 
@@ -171,4 +173,4 @@ def language(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
 def keep_known(docs: DataFrame, labels: DataFrame, least: float = LEAST_SCORE, per_class: int = PER_CLASS) -> DataFrame:
     """docs without those that are `und` or whose score is under least; all columns stay as they are."""
     net = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(_apply(net, least), docs.schema)
+    return wrapped(docs).select(F.col("row.text").cast("string").alias("text"), "row").mapInArrow(_apply(net, least), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

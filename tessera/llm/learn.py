@@ -5,25 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_texts(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of at most per_class labelled documents for each label, those whose ids have the smallest hashes.
+MOST = 20_000
 
-    labels(doc_id, label) has few distinct labels; a document with several takes the largest.  At most per_class ids for each
-    label reach the driver and are broadcast, and their documents' texts come back."""
+
+def sample_texts(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int, most: int = MOST) -> list[tuple[int, str, object]]:
+    """(doc_id, text, label) of labelled documents: for each label those whose ids have the smallest hashes.
+
+    Of each label at most per_class are taken, fewer where all labels together would have more than `most`; no label is left
+    out (more than `most` labels are an error).  A document with several labels takes the largest.  So many whole texts reach
+    the driver.  Ranks are cut in each task first, so a label of a third of all rows is not gathered."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learnable).groupBy("doc_id").agg(F.max("label").alias("label"))
-    one = one.withColumn("h", F.xxhash64("doc_id", F.lit(7)))
-    picks = []
-    for row in one.select("label").distinct().orderBy("label").limit(256).collect():  # labels are few by their contract
-        own = one.where(F.col("label") == F.lit(row.label)).orderBy("h", "doc_id").limit(per_class)
-        picks += own.select("doc_id", "label").collect()
-    if not picks:
+    kinds = one.select(F.count_distinct("label")).first()[0]
+    if kinds > most:
+        raise ValueError(f"{kinds} labels are more than the {most} documents to learn from")
+    if not kinds:
         return []
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(picks, one.select("doc_id", "label").schema))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(chosen, "doc_id").collect()
+    best = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    chosen = one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= min(per_class, most // kinds)).select("doc_id", "label")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").collect()  # `most` ids at most
     return sorted(((r.doc_id, r.text or "", r.label) for r in rows), key=lambda r: (r[0], r[1]))
 
 

@@ -5,11 +5,12 @@ kinds of bytes, of repeated and distinct words, lengths, and hashed counts of by
 gated attention (tanh times sigmoid) weighs the passages, and the weighted sum of their codes is scored.  All of it is trained
 in numpy from labels of documents alone.
 
-Training takes at most per_class documents of each label by hash of id, and of each at most BAG passages spread over it;
-scoring reads every passage of every text and adds up exp(attention) and its products, so a long text needs little memory.
+Training takes at most per_class documents of each label by hash of id, every passage of each; scoring reads every passage of
+every text.  A text of any length is one bag.
 
 Defined cases: null or empty text is one empty passage; without labels of both kinds every score is 0.5; ids may be null or
-repeat, each row is scored alone; an empty table gives no rows; other columns are not read.
+repeat, each row is scored alone, and of rows with one text each has its score; of training texts that repeat one counts, with
+the label of the largest id; a score of exactly 0.5 predicts 1; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tessera.llm.learn import adam, sample_texts, sigmoid
 from tessera.llm.shingles import word_hashes
 
 PASSAGE, PAIRS = 512, 64
-PER_CLASS, BAG, EPOCHS, HIDDEN, GATE = 1500, 16, 40, 16, 8
+PER_CLASS, EPOCHS, HIDDEN, GATE = 1500, 40, 16, 8
 KIND = np.full(256, 6, np.int64)  # other marks
 for _k, _bytes in enumerate([range(97, 123), range(65, 91), range(48, 58), b" \t", b"\n\r", range(128, 256)]):
     KIND[list(_bytes)] = _k
@@ -120,8 +121,7 @@ def train(sample: list[tuple[int, str, object]]) -> Bags:
         return model
     bags = []
     for text, _ in once:
-        x, _ = measures(pa.array([text]))
-        bags.append(x[np.unique(np.linspace(0, len(x) - 1, BAG).astype(int))])
+        bags.append(measures(pa.array([text]))[0])
     every = np.concatenate(bags)
     model.shift, model.scale = every.mean(0), every.std(0) + 0.02
     y = np.array([y for _, y in once], float)
