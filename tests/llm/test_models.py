@@ -1,5 +1,6 @@
 """Held-out accuracy, methods and odd inputs of the trained operators."""
 
+import itertools
 import random
 import zlib
 
@@ -95,6 +96,59 @@ def test_signs_at_edges_and_doubled_letters_are_restored(corpus):
     assert clean < 0.5 < hidden
 
 
+def test_restored_words_are_the_best_of_the_whole_lattice(corpus):
+    model = train_toxicity([(i, t, toxic) for i, t, _, toxic, _ in corpus])
+
+    def cost(parts):
+        a = b = "\0"
+        total = sum(toll for _, toll in parts)
+        for c in "".join(out for out, _ in parts) + "\0":
+            total += model.price(a, b, c)
+            a, b = b, c
+        return total
+
+    rng = random.Random(4)
+    words = ["v3rm1n", "b|0ckh3@d", "sc..0uunn", "1|1|1", "日1本@語", "aa11bb", "+.+.$"] + ["".join(rng.choice("aaehvmin013@$.-|!") for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    for word in words:
+        for lead, tail in ((0, 0), (1, 0), (0, 1)) if word[0] in "@$!|+(" and word[-1] in "@$!|+(" else ((0, 0),):
+            every = [parts for parts in itertools.product(*model.lattice(word, lead, tail))]
+            best = min(map(cost, every))
+            assert any("".join(out for out, _ in parts) == model.restore(word, lead, tail) and abs(cost(parts) - best) < 1e-6 for parts in every), word
+    assert model.restore("a1" * 50_000).count("1") < 50_000  # long ones too
+
+
+def test_three_hundred_languages_are_all_learned(spark):
+    rng = random.Random(9)
+    rows = [(5 * k + j, " ".join(f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}{rng.choice('abc')}" for _ in range(12)), f"l{k:03}") for k in range(300) for j in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = sample_texts(docs, docs.selectExpr("doc_id", "lang AS label"), docs["doc_id"] >= 0, 2)
+    assert len(sample) == 600 and len({y for _, _, y in sample}) == 300
+    assert len(sample_texts(docs, docs.selectExpr("doc_id", "lang AS label"), docs["doc_id"] >= 0, 2, 450)) == 300
+    with pytest.raises(ValueError):
+        sample_texts(docs, docs.selectExpr("doc_id", "lang AS label"), docs["doc_id"] >= 0, 2, 299)
+
+
+def test_what_only_the_end_of_a_long_text_shows_is_learned():
+    from tessera.llm.language import train as train_language
+    from tessera.llm.quality import train as train_quality
+
+    rng = random.Random(8)
+    same = lambda: prose(rng, EN, 3000)
+    bad = lambda: same() + " " + "#$%& @@@ |||| " * 400
+    model = train_quality([(2 * i + k, (bad if k else same)(), 1 - k) for i in range(40) for k in (0, 1)])
+    assert (model(pa.array([same() for _ in range(10)])) > 0.5).all() and (model(pa.array([bad() for _ in range(10)])) < 0.5).all()
+    late = [(2 * i + k, (EN[0] + " ") * 2000 + prose(rng, DE if k else EN, 4000), ("en", "de")[k]) for i in range(6) for k in (0, 1)]
+    names, _ = train_language(late)(pa.array([prose(rng, EN, 50), prose(rng, DE, 50)]))
+    assert names == ["en", "de"]
+
+
+def test_names_of_columns_may_clash(tables):
+    docs, labels = tables
+    docs = docs.selectExpr("*", "1 AS __text", "2 AS row", "3 AS predicted")
+    for kept in (keep_clean(docs, labels), keep_known(docs, docs)):
+        assert kept.columns == docs.columns and kept.agg({"predicted": "min"}).first()[0] == 3
+
+
 def test_language_held_out(tables, corpus):
     docs, _ = tables
     rows = {r.doc_id: r for r in language(docs, docs).collect()}
