@@ -45,28 +45,31 @@ def scratch(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[list[str]] = []  # the folders of each open scope()
+_TABLES: dict[str, str] = {}  # the catalog's names of folders that have one
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes with the innermost scope(), else when the session ends."""
+def new_folder(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path in the shared folder; it goes with the innermost scope() (outer: the one around it), else with the session."""
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    if _WRITTEN:
-        _WRITTEN[-1].append(path)
+    if len(_WRITTEN) > outer:
+        _WRITTEN[-1 - outer].append(path)
     return path
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Deletes folders that nothing reads any more."""
     for path in paths:
+        if path in _TABLES:
+            spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextlib.contextmanager
 def scope(spark: SparkSession):
-    """What is written inside goes at the end, so the result must have been written outside or been read whole by then."""
+    """What is written inside goes at the end, so a result must have been written to the outer scope by then."""
     _WRITTEN.append([])
     try:
         yield
@@ -75,10 +78,10 @@ def scope(spark: SparkSession):
         spark.sparkContext._jvm.System.gc()  # shuffle files go when the driver's garbage does
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: its rows are fixed and its lineage is cut."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = new_folder(spark, name, outer)
     df.write.option("compression", "zstd").parquet(path)
     spark.sparkContext._jvm.System.gc()  # the shuffle files of what has been written go when the driver's garbage does
     return spark.read.schema(df.schema).parquet(path)
@@ -91,7 +94,7 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     of part, so where() below meets its rows by number without moving them.  df must not have columns of these names."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    table_name = f"tessera_{uuid.uuid4().hex}"
+    table_name = _TABLES[path] = f"tessera_{uuid.uuid4().hex}"
     rows = df.withColumn("rid", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id())
     buckets = min(width(spark), 100_000)
     rows.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, "part").saveAsTable(table_name)

@@ -2,15 +2,19 @@
 
 Texts of one shingle set are one class, joined by a 128-bit print of the set.  Under any one order of all shingles, two sets
 of Jaccard similarity t share one of their first n - ceil(t n) + 1 shingles, so classes meet in tiles of such a shingle.
-The order puts shingles last that are frequent (by a sketch of fixed size, for which each task counts), the rest go by hash.
+The order puts the most frequent shingles last (each task counts those that repeat, the FREQUENT most frequent of all by
+powers of two are known to every task), the rest go by hash.
 
 Links are found in two rounds.  Stars: in each (shingle, size band) tile all classes are paired with the tile's smallest one
 and the one of the band below.  Verified pairs give components, and a shingle whose classes are all in one component is done:
-this keeps a group of a third of all rows linear.  Rest: in the tiles left over, cut into chunks, classes of different
-components whose sizes allow the link are compared by hashed parity bitmaps; set bits of the XOR bound the symmetric
+this keeps a group of a third of all rows linear.  Rest: in the tiles left over, of a band and the next one, cut into chunks,
+classes of different components whose sizes allow the link are compared by hashed parity bitmaps; set bits of the XOR bound the symmetric
 difference from below, hence the overlap from above.  What passes is verified on the sorted arrays.  Each pair of different
 sets that link is thus in one component, and none is assumed.
 
+Scale: the classes of a shingle that stands in 2**(HOT - 1) documents or more are dealt over as many lists and join salts as
+its count asks for.  Texts of candidates are fetched by number, so documents are never moved whole.
+
 Defined cases: null or blank text has an empty set and links with nothing; a null id is returned with a null component and
 links with nothing; rows that repeat an id are returned as they are, their classes share that id as a node; an empty table
 gives no rows; other columns are not read.
@@ -23,16 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, let_go, materialise, mix, slices, view, width
+from tessera.llm.common import by_number, components, let_go, materialise, mix, numbered, scope, slices, view, width, wrapped
 from tessera.llm.shingles import shingle_hashes, shingle_sets
 
 WORDS, PERCENT = 5, 75
-CELLS, OFTEN, COUNT_AT_ONCE = 24, 3, 1 << 22  # bits of the sketch, and what enters it
+FREQUENT, OFTEN, COUNT_AT_ONCE = 1 << 20, 3, 1 << 22  # frequent shingles that tasks know; what counts as repeated, in how many
 HOT = 13  # from this level (2**12 documents) a shingle's classes are salted
+BUCKET = 1 << 22  # shingles of a bucket of lists
 SIGN_BITS, LONG_BITS = 1024, 1 << 17
-MARK_BITS = 26
 CHUNK = 2000
-SALTS = 16
 SLICE = 2 << 20
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -59,22 +62,21 @@ def fold(sign: bytes, size: int) -> np.ndarray:
     return words if len(sign) == size else np.bitwise_xor.reduce(words.reshape(-1, size // 8), 0)
 
 
-def _sketch(words: int):
-    """(cell, n) of cells of shingles that occur OFTEN times in some COUNT_AT_ONCE shingles of a task."""
+def _often(words: int):
+    """(shingle, n) of shingles that occur OFTEN times in some COUNT_AT_ONCE shingles of a task."""
 
     def run(batches):
         let_go()
         held, size = [], 0
 
         def often():
-            cells, counts = np.unique(np.concatenate(held), return_counts=True)
-            hot = counts >= OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(cells[hot], pa.int64()), pa.array(counts[hot], pa.int64())], names=["cell", "n"])
+            shingles, counts = np.unique(np.concatenate(held), return_counts=True)
+            some = counts >= OFTEN
+            return pa.RecordBatch.from_arrays([pa.array(shingles[some].view(np.int64)), pa.array(counts[some], pa.int64())], names=["shingle", "n"])
 
         for batch in slices(batches, "text", SLICE):
-            hashes, _ = shingle_hashes(batch.column("text"), words)
-            held.append((hashes >> np.uint64(64 - CELLS)).astype(np.uint32))
-            size += len(hashes)
+            held.append(shingle_hashes(batch.column("text"), words)[0])
+            size += len(held[-1])
             if size >= COUNT_AT_ONCE:
                 yield often()
                 held, size = [], 0
@@ -84,11 +86,50 @@ def _sketch(words: int):
     return run
 
 
+class Levels:
+    """The bits of the counts of frequent shingles, 0 for others."""
+
+    def __init__(self, shingles: np.ndarray, levels: np.ndarray) -> None:
+        order = np.argsort(shingles)
+        self.shingles, self.levels, self.hot = shingles[order], levels[order], HOT
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.uint8)
+        if len(self.shingles):
+            if not hasattr(self, "some"):
+                self.some = np.zeros(1 << 23, bool)  # most shingles are told by their first bits
+                self.some[(self.shingles >> np.uint64(41)).astype(np.int64)] = True
+            maybe = np.flatnonzero(self.some[(hashes >> np.uint64(41)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.shingles, hashes[maybe]), len(self.shingles) - 1)
+            out[maybe] = np.where(self.shingles[place] == hashes[maybe], self.levels[place], 0)
+        return out
+
+    def salts(self, hashes: np.ndarray) -> np.ndarray:
+        """Over how many lists the classes of shingles are dealt, so that each holds about 2**(HOT - 1) at most."""
+        return 1 << np.maximum(self(hashes).astype(np.int64) - self.hot + 1, 0)
+
+    def __getstate__(self):
+        return {"shingles": self.shingles, "levels": self.levels, "hot": self.hot}
+
+
+def frequent(texts: DataFrame, words: int) -> Levels:
+    """The most frequent shingles of all texts: of the highest powers of two, as many as FREQUENT allows (9 bytes each)."""
+    counts = materialise(texts.mapInArrow(_often(words), "shingle long, n long").groupBy("shingle").agg(F.floor(F.log2(F.sum("n"))).cast("int").alias("level")), "frequent")
+    least, total = 64, 0
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most a row for each bit of a count
+        total += row["count"]
+        if total > FREQUENT:
+            break
+        least = row.level
+    known = counts.where(F.col("level") >= least).toArrow()
+    return Levels(known.column("shingle").to_numpy().view(np.uint64), (known.column("level").to_numpy() + 1).astype(np.uint8))
+
+
 def _signs(words: int, percent: int, levels):
     def run(batches):
-        level_of = np.frombuffer(levels.value, np.uint8)
         for batch in slices(batches, "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"), words)
+            level_of = levels.value(hashes)
             sizes = np.diff(at)
             prints = []
             for salt in (_A, _B):
@@ -109,13 +150,13 @@ def _signs(words: int, percent: int, levels):
                     signs.append(None)
                     continue
                 own = hashes[at[i] : at[i + 1]]
-                level = level_of[(own >> np.uint64(64 - CELLS)).astype(np.int64)]
+                level = level_of[at[i] : at[i + 1]]
                 order = np.argsort(level, kind="stable")[: p[i]] if level.any() else slice(0, p[i])
                 tokens.append(own[order].tobytes())
                 signs.append(bitmap(own))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(tokens, pa.binary()), pa.array(signs, pa.binary())],
-                names=["doc_id", "n", "fa", "fb", "tokens", "sign"],
+                [batch.column("rid"), batch.column("doc_id"), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), pa.array(tokens, pa.binary()), pa.array(signs, pa.binary())],
+                names=["rid", "doc_id", "n", "fa", "fb", "tokens", "sign"],
             )
 
     return run
@@ -125,13 +166,11 @@ def _send(buckets: int, levels):
     """(shingle, class, size) of a task in as many lists as there are buckets; frequent shingles are salted by class."""
 
     def run(batches):
-        level_of = np.frombuffer(levels.value, np.uint8)
         held, size = [], 0
 
         def lists():
             token, rep, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            hot = level_of[(token >> np.uint64(64 - CELLS)).astype(np.int64)] >= HOT
-            salt = np.where(hot, mix(rep.view(np.uint64)) % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
+            salt = mix(rep.view(np.uint64)) % levels.value.salts(token).astype(np.uint64)
             bucket = (mix(token + salt * _A) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -163,7 +202,6 @@ def _live(levels):
     A frequent shingle's classes are in several lists; each list becomes a row that only its shingle names."""
 
     def run(batches):
-        level_of = np.frombuffer(levels.value, np.uint8)
         lists: dict[int, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
@@ -176,18 +214,19 @@ def _live(levels):
             token, rep, n = token[order], rep[order], n[order]
             first = np.flatnonzero(np.diff(token, prepend=~token[:1]))
             size = np.diff(np.append(first, len(token)))
-            hot = level_of[(token[first] >> np.uint64(64 - CELLS)).astype(np.int64)] >= HOT
+            salts = levels.value.salts(token[first])
+            hot = salts > 1
             keep = (size > 1) | hot
             name = [np.add.reduceat(mix(rep.view(np.uint64) ^ x), first) for x in (_A, _B)] if len(first) else [first, first]
             sa, sb = np.where(hot, token[first], name[0])[keep].view(np.int64), np.where(hot, np.uint64(bucket), name[1])[keep].view(np.int64)
-            first, size, hot = first[keep], size[keep], hot[keep]
+            first, size, salts = first[keep], size[keep], salts[keep]
             by = np.lexsort((sb, sa))
             new = np.ones(len(by), bool)
             new[1:] = (sa[by][1:] != sa[by][:-1]) | (sb[by][1:] != sb[by][:-1])
             times = np.diff(np.append(np.flatnonzero(new), len(by)))
             for i, w in zip(by[new].tolist(), times.tolist(), strict=True):
                 x, y = first[i], first[i] + size[i]
-                rows.append([sa[i], sb[i], hot[i], w, rep[x:y].tobytes(), n[x:y].tobytes()])
+                rows.append([sa[i], sb[i], salts[i], w, rep[x:y].tobytes(), n[x:y].tobytes()])
                 if len(rows) >= 20_000:
                     yield _table(rows)
                     rows = []
@@ -198,7 +237,7 @@ def _live(levels):
 
 
 def _table(rows: list[list]) -> pa.RecordBatch:
-    kinds = {"sa": pa.int64(), "sb": pa.int64(), "hot": pa.bool_(), "w": pa.int64(), "reps": pa.binary(), "ns": pa.binary()}
+    kinds = {"sa": pa.int64(), "sb": pa.int64(), "salts": pa.int64(), "w": pa.int64(), "reps": pa.binary(), "ns": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
@@ -206,28 +245,19 @@ def _unpack(batches):
     for batch in batches:
         reps, ns = (b"".join(batch.column(c).to_pylist()) for c in ("reps", "ns"))
         size = np.array([len(x) // 8 for x in batch.column("reps").to_pylist()], np.int64)
-        sid = np.where(batch.column("hot").to_numpy(zero_copy_only=False), batch.column("sa").to_numpy(), mix(batch.column("sa").to_numpy().view(np.uint64) ^ mix(batch.column("sb").to_numpy().view(np.uint64))).view(np.int64))
+        salts = batch.column("salts").to_numpy()
+        sid = np.where(salts > 1, batch.column("sa").to_numpy(), mix(batch.column("sa").to_numpy().view(np.uint64) ^ mix(batch.column("sb").to_numpy().view(np.uint64))).view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(sid, size)), pa.array(np.frombuffer(reps, np.int64)), pa.array(np.frombuffer(ns, np.int32)), pa.array(np.repeat(batch.column("w").to_numpy(), size))],
-            names=["sid", "rep", "n", "w"],
+            [pa.array(np.repeat(sid, size)), pa.array(np.frombuffer(reps, np.int64)), pa.array(np.frombuffer(ns, np.int32)), pa.array(np.repeat(batch.column("w").to_numpy(), size)), pa.array(np.repeat(salts, size))],
+            names=["sid", "rep", "n", "w", "salts"],
         )
 
 
-def _marked(words: int, marks):
-    """The shingle sets of documents whose id's mark is set."""
-
+def _sets(words: int):
     def run(batches):
-        table = np.frombuffer(marks.value, np.uint64)
-
-        def picked():
-            for batch in batches:
-                slot = batch.column("slot").to_numpy()
-                hit = (table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)
-                yield batch.filter(pa.array(hit.astype(bool)))
-
-        for batch in slices(picked(), "text", SLICE):
+        for batch in slices(batches, "text", SLICE):
             hashes, at = shingle_sets(batch.column("text"), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["rep", "hashes"])
 
     return run
 
@@ -259,8 +289,8 @@ def _compare(percent: int):
     Rows come by tile and size.  All tiles at hand are compared at once: each row with the next one, the one after that, .."""
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        rep, n, comp, side, sign = (rows.column(c).combine_chunks() for c in ("rep", "n", "comp", "side", "sign"))
-        rep, n, comp, side = (x.to_numpy() for x in (rep, n, comp, side))
+        rep, n, comp, side, up, sign = (rows.column(c).combine_chunks() for c in ("rep", "n", "comp", "side", "up", "sign"))
+        rep, n, comp, side, up = (x.to_numpy() for x in (rep, n, comp, side, up))
         whole = sign.to_pylist()
         sign = np.stack([fold(x, SIGN_BITS // 8) for x in whole])
         tile = np.cumsum(_changes(rows))
@@ -270,7 +300,7 @@ def _compare(percent: int):
             i = i[(tile[i] == tile[i + step]) & (n[i] * 100 >= n[i + step] * percent)]
             if not len(i):
                 break
-            a = i[(comp[i] != comp[i + step]) & ((side[i] != side[i + step]) | (side[i] == 2))]
+            a = i[(comp[i] != comp[i + step]) & ((side[i] != side[i + step]) | (side[i] == 2)) & (up[i] + up[i + step] < 2)]
             if len(a):
                 apart = np.bitwise_count(sign[a] ^ sign[a + step]).sum(1, dtype=np.int64)
                 a = a[may_link(apart, n[a] + n[a + step], percent)]
@@ -299,7 +329,7 @@ def _changes(rows: pa.Table) -> np.ndarray:
     """True where a row is of another tile than the one before, and for the first."""
     new = np.zeros(rows.num_rows, bool)
     new[:1] = True
-    for c in ("sid", "p", "q"):
+    for c in ("sid", "tile", "p", "q"):
         x = rows.column(c).to_numpy()
         new[1:] |= x[1:] != x[:-1]
     return new
@@ -334,66 +364,79 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, after exact intersection.  Only documents whose id's mark is set are cut into shingles again."""
-    spark = docs.sparkSession
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MARK_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot("id").alias("s"))
-    bits = ids.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("m"))
-    table = np.zeros(1 << (MARK_BITS - 6), np.int64)
-    for row in bits.toLocalIterator():  # a row for each word of the table at most
-        table[row.w] = row.m
-    marks = spark.sparkContext.broadcast(table.tobytes())
-    sets = docs.where("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(_marked(words, marks), "doc_id long, hashes binary")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb")
+def _verified(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, after exact intersection.  The texts of theirs alone are fetched, by number."""
+    reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "rid"), "rep")
+    sets = by_number(base.select("part", "rid", "text"), reps, "inner").select("rep", "text").mapInArrow(_sets(words), "rep long, hashes binary")
+    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b").select("a", "b", "ha", "hb")
     return materialise(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    level = np.zeros(1 << CELLS, np.uint8)
-    for row in docs.select("text").mapInArrow(_sketch(words), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():  # frequent cells only
-        level[row.cell] = int(row.n).bit_length()
-    levels = spark.sparkContext.broadcast(level.tobytes())
-    signed = materialise(docs.mapInArrow(_signs(words, percent, levels), "doc_id long, n long, fa long, fb long, tokens binary, sign binary"), "signs")
+def _salted(rows: DataFrame) -> DataFrame:
+    """One row for each salt of a frequent shingle, to meet rows that have one of them."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+
+
+def _components(base: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rid, doc_id, n_shingles, component_id) of base(part, rid, doc_id, text), written to the outer scope."""
+    spark = base.sparkSession
+    levels = spark.sparkContext.broadcast(frequent(base.select("text"), words))
+    signed = materialise(base.select("rid", "doc_id", "text").mapInArrow(_signs(words, percent, levels), "rid long, doc_id long, n long, fa long, fb long, tokens binary, sign binary"), "signs")
     carried = signed.where("tokens is not null and doc_id is not null")
-    classes = carried.groupBy("fa", "fb").agg(F.min_by(F.struct("doc_id", "n", "tokens", "sign"), "doc_id").alias("c"))
-    classes = materialise(classes.select("fa", "fb", F.col("c.doc_id").alias("rep"), F.col("c.n").alias("n"), F.col("c.tokens").alias("tokens"), F.col("c.sign").alias("sign")), "classes")
-    buckets = width(spark)
+    classes = carried.groupBy("fa", "fb").agg(F.min_by(F.struct("doc_id", "rid", "n", "tokens", "sign"), "doc_id").alias("c"))
+    classes = materialise(classes.select("fa", "fb", F.col("c.doc_id").alias("rep"), "c.rid", "c.n", "c.tokens", "c.sign"), "classes")
+    prefixes = classes.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
+    buckets = max(width(spark), prefixes // (8 * BUCKET))
     lists = classes.select("rep", "n", "tokens").mapInArrow(_send(buckets, levels), "bucket int, token binary, rep binary, n binary")
-    sets = lists.repartition(buckets, "bucket").mapInArrow(_live(levels), "sa long, sb long, hot boolean, w long, reps binary, ns binary")
-    sets = sets.groupBy("sa", "sb", "hot").agg(F.sum("w").alias("w"), F.first("reps").alias("reps"), F.first("ns").alias("ns"))
-    live = materialise(sets.mapInArrow(_unpack, "sid long, rep long, n int, w long").withColumn("band", band(F.col("n"), percent)), "live")
+    sets = lists.repartitionById(buckets, "bucket").mapInArrow(_live(levels), "sa long, sb long, salts long, w long, reps binary, ns binary")
+    sets = sets.groupBy("sa", "sb", "salts").agg(F.sum("w").alias("w"), F.first("reps").alias("reps"), F.first("ns").alias("ns"))
+    live = sets.mapInArrow(_unpack, "sid long, rep long, n int, w long, salts long")
+    live = materialise(live.withColumn("band", band(F.col("n"), percent)).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts")), "live")
     # stars around the class of a tile that shares most of its shingles
     shared = live.groupBy("rep").agg((F.sum("w") / F.first("n")).alias("shared"))
     rated = live.join(shared, "rep")
-    leaders = rated.groupBy("sid", "band").agg(F.min(F.struct(-F.col("shared"), "n", "rep")).alias("top")).select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"))
-    near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["sid", "band"]) for shift in (0, 1)]
+    leaders = rated.groupBy("sid", "band").agg(F.min(F.struct(-F.col("shared"), "n", "rep")).alias("top"), F.first("salts").alias("salts"))
+    leaders = _salted(leaders.select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"), "salts"))
+    near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["sid", "band", "salt"]) for shift in (0, 1)]
     stars = near[0].unionByName(near[1]).where(f"rep <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     stars = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
     stars = materialise(_possible(stars, classes, percent), "stars-to-try")
-    links = _verified(stars, docs, words, percent)
+    links = _verified(stars, classes, base, words, percent)
     found = components(links)
-    # what the stars leave
-    placed = live.join(found, live["rep"] == found["id"], "left").select("sid", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    open_sets = placed.groupBy("sid").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).where("x <> y").select("sid", F.greatest(F.lit(1), F.ceil(F.col("c") / CHUNK)).cast("int").alias("k"))
-    rest = placed.join(open_sets, "sid").withColumn("i", F.pmod(F.hash("rep"), F.col("k")))
-    tile = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), F.when(j == F.col("i"), 2).otherwise((F.col("i") > j).cast("int")).alias("side")))
-    rest = rest.select("sid", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(tile).alias("t")).select("sid", "rep", "n", "comp", "t.*")
-    rest = rest.join(classes.select("rep", "sign"), "rep").repartition(buckets, "sid", "p", "q").sortWithinPartitions("sid", "p", "q", "n")
+    # what the stars leave: tiles of a band (up 0) and the next one (up 1) whose classes are not all in one component
+    placed = live.join(found, live["rep"] == found["id"], "left").select("sid", "rep", "n", "band", "salt", "salts", F.coalesce("component", "rep").alias("comp"))
+    both = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(0).alias("up")), F.struct((F.col("band") - 1).alias("tile"), F.lit(1).alias("up")))).alias("t")
+    placed = placed.select("sid", "rep", "n", "comp", "salt", "salts", both).select("sid", "rep", "n", "comp", "salt", "salts", "t.*")
+    open_tiles = placed.groupBy("sid", "tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.min("up").alias("up"), F.first("salts").alias("salts"))
+    open_tiles = _salted(open_tiles.where("x <> y and up = 0").select("sid", "tile", F.ceil(F.col("c") / CHUNK).cast("int").alias("k"), "salts"))
+    rest = placed.drop("salts").join(open_tiles, ["sid", "tile", "salt"]).withColumn("i", F.pmod(F.hash("rep"), F.col("k")))
+    chunk = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), F.when(j == F.col("i"), 2).otherwise((F.col("i") > j).cast("int")).alias("side")))
+    rest = rest.select("sid", "tile", "up", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(chunk).alias("t")).select("sid", "tile", "up", "rep", "n", "comp", "t.*")
+    rest = rest.join(classes.select("rep", "sign"), "rep").repartition(buckets, "sid", "tile", "p", "q").sortWithinPartitions("sid", "tile", "p", "q", "n")
     more = rest.mapInArrow(_compare(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     more = materialise(more, "rest-to-try")
     if not more.isEmpty():
-        found = components(links.unionByName(_verified(more, docs, words, percent)))
+        found = components(links.unionByName(_verified(more, classes, base, words, percent)))
     own = classes.select("fa", "fb", "rep").join(found, classes["rep"] == found["id"], "left").select("fa", "fb", F.coalesce("component", "rep").alias("component_id"))
-    rows = signed.select("doc_id", "n", "fa", "fb").join(own, ["fa", "fb"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    rows = signed.select("rid", "doc_id", "n", "fa", "fb").join(own, ["fa", "fb"], "left")
+    component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    return materialise(rows.select("rid", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")), "components", outer=True)
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each row of docs."""
+    with scope(docs.sparkSession):
+        base = numbered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "rows")
+        return _components(base, words, percent).drop("rid")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those that are in a component with a smaller id; all columns stay as they are."""
-    gone = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """docs without those that are in a component with a smaller id; all columns stay as they are.
+
+    Rows with null ids stay; of rows that repeat the smallest id of a component all stay."""
+    base = numbered(wrapped(docs), "rows")
+    with scope(docs.sparkSession):
+        rows = base.select("part", "rid", F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"))
+        gone = _components(rows, WORDS, PERCENT).where("doc_id <> component_id").select("rid")
+    return by_number(base, gone, "left_anti").select("row.*")

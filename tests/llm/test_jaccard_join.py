@@ -40,9 +40,12 @@ def family(rng, size, spread, n=60):
         yield " ".join(own[: n - rng.randrange(4)])
 
 
-@pytest.mark.parametrize("seed, chunk", [(1, 2000), (2, 7)])
-def test_against_brute_force(docs, monkeypatch, seed, chunk):
+@pytest.mark.parametrize("seed, chunk, at_once, hot", [(1, 2000, 1 << 19, 13), (2, 7, 0, 3)])
+def test_against_brute_force(docs, monkeypatch, seed, chunk, at_once, hot):
+    """The second case takes what a large corpus takes: chunks, salted shingles, the distributed loop for components."""
     monkeypatch.setattr("tessera.llm.jaccard_join.CHUNK", chunk)
+    monkeypatch.setattr("tessera.llm.jaccard_join.HOT", hot)
+    monkeypatch.setattr("tessera.llm.common.AT_ONCE", at_once)
     rng = random.Random(seed)
     texts = ODD + [t for k in range(6) for t in family(rng, 25, 6)] + ["one two three"] * 3 + ["One two THREE", "a b c d e", "a b c d e f"]
     passage = " ".join(f"p{i}" for i in range(55))
@@ -67,6 +70,25 @@ def test_null_ids_repeats_and_empty(docs):
 
 
 def test_one_of_each_keeps_columns(docs):
-    left = one_of_each(docs(["a b c d e f", "A b c d e f", "other", None, ""], ids=[3, 1, 2, 5, 6], extra=("kept",)))
-    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept"]
+    clash = ("kept", "rid", "part", "row", "__gone", "rep")
+    left = one_of_each(docs(["a b c d e f", "A b c d e f", "other", None, ""], ids=[3, 1, 2, 5, 6], extra=clash))
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 5, 6]
+
+
+def test_rows_dealt_anew(docs):
+    texts = [f"a{i % 300} b{i % 300} c d e f{i % 300} g h" + " z" * (i // 300) for i in range(900)]
+    left = one_of_each(docs(texts).repartition(5)).collect()
+    assert {r.doc_id for r in left} == {i for i, (_, root) in brute(texts).items() if i == root}
+    assert all(r.text == texts[r.doc_id] for r in left)
+
+
+def test_words_that_collide_under_polynomials(docs):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64, for any base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join([word, other] * 4), f"{word} one two three four", f"{other} one two three four"]
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(texts)).collect()}
+    assert rows == {0: (2, 0), 1: (1, 1), 2: (1, 2)}
