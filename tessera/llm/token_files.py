@@ -13,7 +13,6 @@ their text's hash; an empty table writes no block; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, ragged, scratch, slices, width
+from tessera.llm.common import materialise, new_folder, ragged, scope, slices, width
 from tessera.llm.pieces import encoder, open_tokenizer, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -160,7 +159,9 @@ def _every(n: np.ndarray) -> np.ndarray:
     return ragged(np.zeros(len(n), np.int64), per) * SEGMENT + np.repeat(np.cumsum(n) - n, per)
 
 
-def _encode(code, kind: str):
+def _encode(code, kind: str, edges: np.ndarray):
+    """Documents as bits, with the number of the range between sorted edges that their id is in; null ids are in the first."""
+
     def run(batches):
         lengths = code.value
         codes = canonical(lengths)
@@ -174,8 +175,14 @@ def _encode(code, kind: str):
             cut = [0, *np.cumsum(per).tolist()]
             marks = marks.astype("<u4")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n"), pa.array([marks[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([raw[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary())],
-                names=["doc_id", "n", "marks", "bits"],
+                [
+                    pa.array(np.searchsorted(edges, batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy()), pa.int32()),
+                    batch.column("doc_id"),
+                    batch.column("n"),
+                    pa.array([marks[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                    pa.array([raw[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
+                ],
+                names=["range", "doc_id", "n", "marks", "bits"],
             )
 
     return run
@@ -261,28 +268,12 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     texts = tokens.where("n >= 0")
     parts = width(spark)
     edges = texts.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
-    edges = sorted(set(int(e) for e in edges))
-    at = F.lit(0)
-    if edges:
-        at = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))) if len(edges) < 64 else _bucket(edges)
-    coded = texts.mapInArrow(_encode(code, "<u2" if size <= 1 << 16 else "<u4"), "doc_id long, n long, marks binary, bits binary").withColumn("range", at.cast("int"))
+    edges = np.unique(np.array(edges, np.int64))  # an id for each partition
+    coded = texts.mapInArrow(_encode(code, "<u2" if size <= 1 << 16 else "<u4", edges), "range int, doc_id long, n long, marks binary, bits binary")
     ordered = coded.repartitionById(len(edges) + 1, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.xxhash64("bits"))
     ordered.select("range", "doc_id", "n", "marks", "bits").mapInArrow(_blocks(block_tokens), BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def _bucket(edges: list[int]):
-    """How many edges are below doc_id, by halving: a balanced tree of comparisons."""
-    value = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-
-    def tree(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(value > F.lit(edges[m]), tree(m + 1, b)).otherwise(tree(a, m))
-
-    return tree(0, len(edges))
-
-
 def read_tokens(spark, path: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the files at path; ids as little-endian unsigned 32-bit integers, or their crc32."""
     table = spark.read.schema("id long, length int").parquet(f"{path}/code").collect()  # at most a row for each id of the vocabulary
@@ -299,6 +290,8 @@ def read_tokens(spark, path: str, digest: bool = False) -> DataFrame:
 
 def token_digest(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from files that write_tokens() makes of docs."""
-    path = f"{scratch(docs.sparkSession)}/token-files-{uuid.uuid4().hex[:12]}"
-    write_tokens(docs, path, **options)
-    return read_tokens(docs.sparkSession, path, digest=True)
+    spark = docs.sparkSession
+    with scope(spark):
+        path = new_folder(spark, "token-files")
+        write_tokens(docs, path, **options)
+        return materialise(read_tokens(spark, path, digest=True), "digests", outer=True)
