@@ -75,6 +75,7 @@ class Spec:
     dummy_prefix: bool = True
     extra_spaces_go: bool = True
     escape: bool = True
+    unk_surface: str = " \u2047 "  # what an unknown piece decodes to
 
     @property
     def by_parts(self) -> bool:
@@ -102,6 +103,7 @@ def read_model(raw: bytes) -> Spec:
         elif number == 2:
             own = dict(fields(value))
             spec.kind, spec.byte_fallback, spec.unk_id = own.get(3, UNIGRAM), bool(own.get(35, 0)), own.get(40, 0)
+            spec.unk_surface = own[44].decode() if 44 in own else spec.unk_surface
         elif number == 3:
             own = dict(fields(value))
             spec.charsmap = own.get(2, b"")
@@ -151,10 +153,11 @@ class Codec:
         self.peer = sentencepiece.SentencePieceProcessor(model_proto=raw)
         self.parts = PieceEncoder(self._encode_parts, apart=self.spec.apart) if self.spec.by_parts else None
         self.tokenizer = build(self.spec, False if self.parts else None)
-        texts = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.spec.pieces]
+        texts = [b"" if k == CONTROL else self.spec.unk_surface.encode() if k == UNKNOWN else bytes([int(p[3:-1], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.spec.pieces]
         self.size = np.array([len(t) for t in texts])
         self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.known = np.repeat(np.array([k != UNKNOWN for *_, k in self.spec.pieces]), self.size)  # the space of an unknown piece stays
 
     def _encode_parts(self, parts: list[str]) -> list[list[int]]:
         mine = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -181,11 +184,12 @@ class Codec:
     def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of texts from their ids, and offsets; the space of the prefix is taken off."""
         size = self.size[ids]
-        out = self.bytes[ragged(self.first[ids], size)]
+        at_bytes = ragged(self.first[ids], size)
+        out = self.bytes[at_bytes]
         ends = np.concatenate([[0], np.cumsum(size)])[at]
         if self.spec.dummy_prefix:
             lead = ends[:-1][ends[1:] > ends[:-1]]
-            lead = lead[out[lead] == 32]
+            lead = lead[(out[lead] == 32) & self.known[at_bytes[lead]]]
             keep = np.ones(len(out), bool)
             keep[lead] = False
             ends = np.concatenate([[0], np.cumsum(keep)])[ends]

@@ -105,3 +105,13 @@ def test_wire_reader_matches_the_library():
     peer = codec(PATH).peer
     assert len(spec.pieces) == peer.get_piece_size()
     assert all(p == peer.id_to_piece(i) and abs(s - peer.get_score(i)) < 1e-6 for i, (p, s, _) in enumerate(spec.pieces))
+
+
+def test_unknown_pieces_decode_as_in_the_library(tmp_path):
+    path = tmp_path / "u.model"
+    path.write_bytes(unigram(False))
+    own = Codec(str(path))
+    peer = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    a = peer.piece_to_id("ab")
+    for ids in ([0], [0, a], [a, 0, a], [1, 0], [0, 0]):
+        assert _cut(*own.decode(np.array(ids), np.array([0, len(ids)])))[0].decode() == peer.decode(ids)
