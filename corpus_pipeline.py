@@ -1,14 +1,17 @@
 """From raw documents to packed training sequences, a stage at a time.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next one's
-docs.  All but the last return the columns of documents.
+docs.  All but the last return the columns of documents, and other columns of any names that come with them.
+
+Rows with null ids pass every stage on their texts alone and stay in the fourth; rows that repeat an id are judged each by its
+own text, and are packed each as a document of its own; null and empty texts have no language and go in the second.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import materialise, table
+from tessera.llm.common import materialise, scope, table
 from tessera.llm.exact_dedup import drop_copies
 from tessera.llm.jaccard_join import one_of_each
 from tessera.llm.language import keep_known
@@ -57,5 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written out and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark):  # what a stage has written for itself goes with it
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
     return docs
