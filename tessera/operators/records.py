@@ -36,25 +36,22 @@ def in_range(values: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
     return values.join(F.broadcast(ranges), F.col(value).between(F.col("lo"), F.col("hi")), "left")
 
 
-def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    return df.withColumn("cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+def overlapped(spans: DataFrame, file: str, key: str, start: str, end: str) -> DataFrame:
+    """The spans of which another one of the file has bytes too: in order of their starts, the furthest end before a span is
+    behind its start, or the next one starts before its end.  Empty spans overlap nothing."""
+    order = Window.partitionBy(file).orderBy(start, end, key)
+    own = spans.where(F.col(start) < F.col(end))
+    reach, follow = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lead(start).over(order)
+    met = own.withColumn("__reach", reach).withColumn("__next", follow)
+    return met.where((F.col("__reach") > F.col(start)) | (F.col("__next") < F.col(end))).drop("__reach", "__next")
 
 
-def overlapped(spans: DataFrame, file: str, key: str, start: str, end: str, width: int) -> DataFrame:
-    """The spans of which another one of the file has bytes too, by cells of width bytes (about a span's length)."""
-    own = spans.where(F.col(start) < F.col(end))
-    cells = _cells(own, start, end, width)
-    other = cells.select(file, "cell", F.col(key).alias("k2"), F.col(start).alias("s2"), F.col(end).alias("e2"))
-    hits = cells.join(other, [file, "cell"]).where((F.col(key) != F.col("k2")) & (F.col(start) < F.col("e2")) & (F.col("s2") < F.col(end))).select(file, key).distinct()
-    return spans.join(hits, [file, key], "left_semi")
-
-
-def homes(spans: DataFrame, boxes: DataFrame, file: str, key: str, start: str, end: str, width: int) -> DataFrame:
-    """spans with the first box (seq, box_start, box_end) of the file that holds all of each; null if none does."""
-    near = boxes.withColumn("cell", F.explode(F.sequence(F.floor(F.col("box_start") / width), F.floor((F.col("box_end") - 1) / width))))
-    found = spans.withColumn("cell", F.floor(F.col(start) / width)).join(near, [file, "cell"]).where((F.col("box_start") <= F.col(start)) & (F.col(end) <= F.col("box_end")))
-    first = found.groupBy(file, key).agg(F.min("seq").alias("home"))
-    return spans.join(first, [file, key], "left")
+def homes(spans: DataFrame, boxes: DataFrame, file: str, key: str, start: str, end: str) -> DataFrame:
+    """spans with the first box (seq, box_start, box_end) of the file that holds all of each; null if none does.  A file has few
+    boxes (those that hold media), so they are one row of the file that its spans meet."""
+    held = boxes.groupBy(file).agg(F.array_sort(F.collect_list(F.struct("seq", "box_start", "box_end"))).alias("__boxes"))
+    inside = F.filter("__boxes", lambda b: (b["box_start"] <= F.col(start)) & (F.col(end) <= b["box_end"]))
+    return spans.join(held, file, "left").withColumn("home", F.get(inside, F.lit(0))["seq"]).drop("__boxes")
 
 
 def missing(subjects: DataFrame, required: DataFrame, present: DataFrame, subject: str, field: str) -> DataFrame:

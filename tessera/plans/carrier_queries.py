@@ -43,77 +43,18 @@ def prj_06(spark, d):
     return parts.groupBy("path").agg(F.md5(M.first_part("tEXt")).alias("first_md5")).select(F.col("path").cast("long").alias("doc_id"), "first_md5")
 
 
-@query("flt_01_carriers_present", "SELECT doc_id, true AS has_exif, true AS has_comment, false AS has_icc FROM documents")
-def flt_01(spark, d):
-    parts = M.parts(packed(t(spark, d, "documents"), "doc_id", ["text", "doc_id"], _jpeg))
-    has = lambda k: F.max(F.col("kind") == k).alias(f"has_{k}")
-    return parts.groupBy("path").agg(has("exif"), has("comment"), has("icc")).select(F.col("path").cast("long").alias("doc_id"), "has_exif", "has_comment", "has_icc")
-
-
-@query("flt_04_remove_chunks", "SELECT doc_id, 3 AS kept, 2 AS removed FROM documents")
-def flt_04(spark, d):
-    parts = M.parts(packed(t(spark, d, "documents"), "doc_id", ["text", "doc_id", "lang"], _png))
-    gone = F.col("type").isin("tEXt", "zTXt")
-    return parts.groupBy("path").agg(F.count_if(~gone).cast("int").alias("kept"), F.count_if(gone).cast("int").alias("removed")).select(F.col("path").cast("long").alias("doc_id"), "kept", "removed")
-
-
 @query("flt_05_flags", "SELECT o_orderkey, o_orderkey % 1024 AS flags FROM orders WHERE (o_orderkey % 1024 & 34) <> 0")
 def flt_05(spark, d):
     return t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1024).alias("flags")).where(F.col("flags").bitwiseAND(34) != 0)
 
 
-@query("flt_06_structure", "SELECT c_custkey, false AS big_endian, 2 AS lists, 1 AS deepest FROM customer")
-def flt_06(spark, d):
-    files = packed(t(spark, d, "customer"), "c_custkey", ["c_custkey", "c_name", "c_acctbal"], _riff)
-    shape = M.parts(files).groupBy("path").agg(F.count_if(F.col("kind") == "list").cast("int").alias("lists"), F.max("depth").alias("deepest"))
-    return files.select("path", C.starts(F.col("content"), b"RIFX").alias("big_endian")).join(shape, "path").select(F.col("path").cast("long").alias("c_custkey"), "big_endian", "lists", "deepest")
-
-
 @query("agg_08_part_counts", "SELECT p_partkey, 5 AS parts, strlen(p_name) + 8 + p_partkey % 50 AS bytes FROM part")
 def agg_08(spark, d):
-    parts = M.parts(packed(t(spark, d, "part"), "p_partkey", ["p_partkey", "p_name"], _boxes))
+    parts = M.parts(packed(t(spark, d, "part"), "p_partkey", ["p_partkey", "p_name"], _boxes), payload=False)
     return parts.groupBy("path").agg(F.count("*").cast("int").alias("parts"), F.sum("size").alias("bytes")).select(F.col("path").cast("long").alias("p_partkey"), "parts", "bytes")
 
 
-# --- composers: parts taken apart, put together again and compared
-
-
-def _recomposed(name, table, key, columns, build, container):
-    @query(name, f"SELECT {key}, true AS same FROM {table}")
-    def run(spark, d):
-        files = packed(t(spark, d, table), key, columns, build)
-        again = sinks.compose(M.parts(files), container).withColumnRenamed("content", "again")
-        return files.join(again, "path").select(F.col("path").cast("long").alias(key), (F.col("content") == F.col("again")).alias("same"))
-
-
-_recomposed("snk_04_jpeg_compose", "documents", "doc_id", ["text", "doc_id"], _jpeg, "jpeg")
-_recomposed("snk_06_png_compose", "documents", "doc_id", ["text", "doc_id", "lang"], _png, "png")
-_recomposed("snk_07_riff_compose", "customer", "c_custkey", ["c_custkey", "c_name", "c_acctbal"], _riff, "avi")
-_recomposed("snk_09_box_compose", "part", "p_partkey", ["p_partkey", "p_name"], _boxes, "bmff")
-
-
-@query("snk_10_tiff_compose", "SELECT o_orderkey, 7 AS tags FROM orders")
-def snk_10(spark, d):
-    """Blocks in the other byte order hold the same tags."""
-
-    def turned(block: bytes) -> int:
-        entries, _ = tiff.read(block)
-        again, _ = tiff.read(tiff.write(entries, ">" if block[:2] == b"II" else "<"))
-        plain = lambda es: sorted((e.ifd, e.tag, e.type, str(e.values)) for e in es if e.tag not in tiff.SUB_IFDS)
-        return len(plain(again)) if plain(again) == plain(entries) else -1
-
-    return M.convert(_order_files(spark, d), "content", turned, "tags", "long").select(F.col("path").cast("long").alias("o_orderkey"), F.col("tags").cast("int").alias("tags"))
-
-
-@query("snk_18_free_space", "WITH x AS (SELECT o_custkey AS path, o_orderkey AS s, o_orderkey + 1 + o_orderkey % 3 AS e FROM orders), y AS (SELECT *, lead(s) OVER (PARTITION BY path ORDER BY s) AS nxt, max(e) OVER (PARTITION BY path ORDER BY s) AS reach FROM x) SELECT path, reach AS free_from, nxt - reach AS free_bytes FROM y WHERE nxt > reach")
-def snk_18(spark, d):
-    from pyspark.sql import Window
-
-    key = F.col("o_orderkey")
-    w = Window.partitionBy("path").orderBy("s")
-    rows = t(spark, d, "orders").select(F.col("o_custkey").alias("path"), key.alias("s"), (key + 1 + key % 3).alias("e"))
-    rows = rows.withColumn("nxt", F.lead("s").over(w)).withColumn("free_from", F.max("e").over(w))
-    return rows.where("nxt > free_from").select("path", "free_from", (F.col("nxt") - F.col("free_from")).alias("free_bytes"))
+# --- composers
 
 
 # --- XMP
@@ -154,14 +95,6 @@ def cns_05(spark, d):
     return problems.select(F.col("path").cast("long").alias("o_orderkey"), "name", "has", "wanted")
 
 
-@query("cns_02_conform", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'unset' ELSE o_orderstatus END AS status, o_orderstatus = 'O' AS corrected FROM orders")
-def cns_02(spark, d):
-    """Missing required values get their defaults; the default is a constant of a broadcast rule."""
-    have = t(spark, d, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("O")).alias("status"), F.lit("status").alias("field"))
-    rules = spark.createDataFrame([("status", "unset")], "field string, default_value string")
-    return have.join(F.broadcast(rules), "field").select("o_orderkey", F.coalesce("status", "default_value").alias("status"), F.col("status").isNull().alias("corrected"))
-
-
 # --- other sources
 
 
@@ -237,8 +170,3 @@ def mth_17(spark, d):
     k = F.col("p_partkey")
     pick = lambda j: F.get(F.array(*[F.lit(r[j]) for r in containers.JXL_RATIOS]), (k % 7).cast("int"))
     return t(spark, d, "part").select("p_partkey", F.floor(k * pick(0) / pick(1)).alias("width"))
-
-
-@query("mth_14_envelope_number", None)
-def mth_14(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", F.crc32(F.concat_ws("|", "o_orderstatus", "o_orderpriority").cast("binary")).alias("number"))

@@ -71,14 +71,6 @@ def str_08(spark, d):
     return t(spark, d, "part").select("p_partkey", C.until_nul(F.concat("p_brand", F.lit("\0"), "p_name")).alias("text"))
 
 
-@query("str_11_marker_names", "SELECT p_partkey, CASE WHEN m BETWEEN 208 AND 215 THEN 'RST' || (m - 208) WHEN m BETWEEN 224 AND 239 THEN 'APP' || (m - 224) WHEN m = 216 THEN 'SOI' WHEN m = 217 THEN 'EOI' WHEN m = 218 THEN 'SOS' WHEN m = 254 THEN 'COM' ELSE 'other' END AS name FROM (SELECT p_partkey, p_partkey % 256 AS m FROM part)")
-def str_11(spark, d):
-    m = F.col("p_partkey") % 256
-    number = lambda base: (m - base).cast("string")
-    name = F.when(m.between(208, 215), F.concat(F.lit("RST"), number(208))).when(m.between(224, 239), F.concat(F.lit("APP"), number(224)))
-    return t(spark, d, "part").select("p_partkey", name.when(m == 216, "SOI").when(m == 217, "EOI").when(m == 218, "SOS").when(m == 254, "COM").otherwise("other").alias("name"))
-
-
 @query("dat_04_iso_dates", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS instant FROM events")
 def dat_04(spark, d):
     """ISO dates; what is none becomes null."""
@@ -101,40 +93,9 @@ def dat_08(spark, d):
     return t(spark, d, "events").select("event_id", iptc.alias("iptc"), F.regexp_replace(iptc, "^(\\d{4})(\\d{2})(\\d{2})$", "$1-$2-$3").alias("iso"))
 
 
-@query("mth_04_gps_text", "SELECT event_id, (event_id % 90) || '° ' || (event_id % 60) || ''' ' || printf('%.2f', (event_id % 6000) / 100) || '\"' AS text FROM events")
-def mth_04(spark, d):
-    k = F.col("event_id")
-    return t(spark, d, "events").select("event_id", F.format_string("%d° %d' %.2f\"", k % 90, k % 60, (k % 6000) / 100).alias("text"))
-
-
-@query("mth_07_curves", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN x WHEN 1 THEN pow(x, 2.2::DOUBLE) ELSE CASE WHEN x >= 0.04045::DOUBLE THEN pow((x + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) ELSE x / 12.92::DOUBLE END END AS y FROM (SELECT p_partkey, (p_partkey % 256) / 255 AS x FROM part)")
-def mth_07(spark, d):
-    """Identity, gamma and a parametric curve with a linear foot."""
-    x = (F.col("p_partkey") % 256) / 255
-    foot = F.when(x >= 0.04045, F.pow((x + 0.055) / 1.055, 2.4)).otherwise(x / 12.92)
-    k = F.col("p_partkey") % 3
-    return t(spark, d, "part").select("p_partkey", F.when(k == 0, x).when(k == 1, F.pow(x, F.lit(2.2))).otherwise(foot).alias("y"))
-
-
-@query("mth_08_matrix", "SELECT p_partkey, CASE WHEN det <> 0 THEN (d * 1.0::DOUBLE) / det END AS a, CASE WHEN det <> 0 THEN (-b * 1.0::DOUBLE) / det END AS b FROM (SELECT p_partkey, p_partkey % 5 AS a, p_partkey % 3 AS b, p_size % 4 AS c, p_size % 7 AS d, (p_partkey % 5) * (p_size % 7) - (p_partkey % 3) * (p_size % 4) AS det FROM part)")
-def mth_08(spark, d):
-    """A row of an inverse by cofactors (the third axis left as it is); null without one."""
-    k, s = F.col("p_partkey"), F.col("p_size")
-    a, b, c, e = k % 5, k % 3, s % 4, s % 7
-    det = a * e - b * c
-    part = lambda x: F.when(det != 0, x * F.lit(1.0) / det)
-    return t(spark, d, "part").select("p_partkey", part(e).alias("a"), part(-b).alias("b"))
-
-
 _LAB = "(l + 16) / 116"
 
 
-@query("mth_11_lab_luminance", f"SELECT p_partkey, CASE WHEN {_LAB} > 6.0::DOUBLE / 29 THEN pow({_LAB}, 3) ELSE 3 * pow(6.0::DOUBLE / 29, 2) * ({_LAB} - 4.0::DOUBLE / 29) END AS y FROM (SELECT p_partkey, p_partkey % 101 AS l FROM part)")
-def mth_11(spark, d):
-    f = (F.col("p_partkey") % 101 + 16) / 116
-    return t(spark, d, "part").select("p_partkey", F.when(f > 6.0 / 29, F.pow(f, 3)).otherwise(3 * (6.0 / 29) ** 2 * (f - 4.0 / 29)).alias("y"))
-
-
 @query("mth_13_half_floats", "SELECT p_partkey, CASE WHEN e = 0 THEN m * pow(2.0::DOUBLE, -24) WHEN e = 31 THEN NULL ELSE (1024 + m) * pow(2.0::DOUBLE, e - 25) END * CASE WHEN h >= 32768 THEN -1 ELSE 1 END AS v FROM (SELECT p_partkey, h, h // 1024 % 32 AS e, h % 1024 AS m FROM (SELECT p_partkey, p_partkey * 31337 % 65536 AS h FROM part))")
 def mth_13(spark, d):
     """Half floats with subnormals; infinities and NaNs are null."""
@@ -144,91 +105,9 @@ def mth_13(spark, d):
     return t(spark, d, "part").select("p_partkey", (size * F.when(h >= 32768, -1).otherwise(1)).alias("v"))
 
 
-@query("flt_09_fits", "SELECT o_orderkey FROM orders WHERE o_orderkey % 1000 + CAST(o_totalprice AS BIGINT) < 65536 * (1 + o_orderkey % 3) AND o_orderkey % 1000 >= 10")
-def flt_09(spark, d):
-    """Places that are not negative and fit a field's width."""
-    start, size = F.col("o_orderkey") % 1000, F.col("o_totalprice").cast("decimal(38,0)").cast("long")
-    return t(spark, d, "orders").where((start >= 10) & (start + size < 65536 * (1 + F.col("o_orderkey") % 3))).select("o_orderkey")
-
-
-@query("agg_02_extended_packets", "SELECT o_custkey, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS packet FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING sum(length(o_orderpriority)) % 2 = 0")
-def agg_02(spark, d):
-    """Pieces of one id in order of place, kept only if together they have the length that was said."""
-    rows = t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("data"), F.lit(0).alias("pos"))
-    said = rows.groupBy("o_custkey").agg(F.sum(F.length("data")).alias("n")).select("o_custkey", (F.col("n") + F.col("n") % 2).alias("n"))
-    whole = R.joined_in_order(rows, ["o_custkey"], "o_orderkey", "data").join(said, "o_custkey").where(F.length("data") == F.col("n"))
-    return whole.select("o_custkey", F.col("data").alias("packet"))
-
-
-@query("agg_03_box_fragments", "SELECT o_custkey, o_orderstatus AS instance, min(o_orderkey) AS first_at, string_agg(o_orderpriority, '' ORDER BY o_orderkey) AS data FROM orders GROUP BY o_custkey, o_orderstatus")
-def agg_03(spark, d):
-    rows = t(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("instance"), "o_orderkey", F.col("o_orderpriority").alias("data"), F.lit(0).alias("pos"))
-    first = rows.groupBy("o_custkey", "instance").agg(F.min("o_orderkey").alias("first_at"))
-    return R.joined_in_order(rows, ["o_custkey", "instance"], "o_orderkey", "data").join(first, ["o_custkey", "instance"])
-
-
-@query("agg_09_extents", "SELECT user_id, max(event_id + CAST(floor(value) AS BIGINT)) AS reach, min(event_id) AS first_event FROM events GROUP BY user_id")
-def agg_09(spark, d):
-    return t(spark, d, "events").groupBy("user_id").agg(F.max(F.col("event_id") + F.floor("value")).alias("reach"), F.min("event_id").alias("first_event"))
-
-
-@query("agg_13_names", "SELECT DISTINCT o_orderstatus AS ns, o_orderpriority AS name FROM orders")
-def agg_13(spark, d):
-    return t(spark, d, "orders").select(F.col("o_orderstatus").alias("ns"), F.col("o_orderpriority").alias("name")).distinct()
-
-
-@query("agg_15_tag_pivot", "SELECT o_custkey, string_agg(k, ';' ORDER BY k) AS pairs FROM (SELECT DISTINCT o_custkey, CASE WHEN o_orderstatus = 'O' THEN 'Tag 0x' || printf('%04X', CAST(o_orderkey % 65536 AS INTEGER)) ELSE o_orderstatus END AS k FROM orders) GROUP BY o_custkey")
-def agg_15(spark, d):
-    name = F.when(F.col("o_orderstatus") == "O", F.format_string("Tag 0x%04X", F.col("o_orderkey") % 65536)).otherwise(F.col("o_orderstatus"))
-    return t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set(name)), ";").alias("pairs"))
-
-
-@query("win_06_changes", "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type = 'click' AS bit, lag(event_type = 'click', 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE bit <> before")
-def win_06(spark, d):
-    """Places where a row's bit differs from the one before; rows begin white."""
-    bit = F.col("event_type") == "click"
-    before = F.lag(bit, 1, False).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return t(spark, d, "events").withColumn("before", before).where(bit != F.col("before")).select("user_id", "event_id")
-
-
 @query("win_07_inverse_table", "SELECT p_partkey, (SELECT arg_min(i, abs(i * i - (p_partkey % 961)) * 100 + i) FROM range(32) AS r(i)) AS nearest FROM part")
 def win_07(spark, d):
     """The sample of a rising table that is nearest, the lower of equals; the table is a literal."""
     table = F.array(*[F.lit(i * i) for i in range(32)])
     near = F.array_min(F.transform(table, lambda v, i: F.struct(F.abs(v - F.col("p_partkey") % 961).alias("d"), i.cast("long").alias("i"))))
     return t(spark, d, "part").select("p_partkey", near["i"].alias("nearest"))
-
-
-@query("srt_01_sorted_tags", "SELECT o_custkey, string_agg(CAST(tag AS VARCHAR), ',' ORDER BY tag) AS tags FROM (SELECT DISTINCT o_custkey, o_orderkey % 997 AS tag FROM orders) GROUP BY o_custkey")
-def srt_01(spark, d):
-    rows = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set(F.col("o_orderkey") % 997)).alias("x"))
-    return rows.select("o_custkey", F.array_join(F.transform("x", lambda v: v.cast("string")), ",").alias("tags"))
-
-
-@query("srt_05_stop", "SELECT user_id, count(*) AS before_stop FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 0 GROUP BY user_id")
-def srt_05(spark, d):
-    """Parts before the first end mark of each file: compared with its place, which is summed first."""
-    e = t(spark, d, "events")
-    ends = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("event_id").alias("stop"))
-    return e.join(ends, "user_id", "left").where("stop IS NULL OR event_id < stop").groupBy("user_id").agg(F.count("*").alias("before_stop"))
-
-
-@query("nst_02_append", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '|new' ELSE 'a|b|new' END AS items FROM supplier")
-def nst_02(spark, d):
-    items = F.when(F.col("s_suppkey") % 2 == 0, F.array("s_name")).otherwise(F.array(F.lit("a"), F.lit("b")))
-    return t(spark, d, "supplier").select("s_suppkey", F.array_join(F.array_append(items, F.lit("new")), "|").alias("items"))
-
-
-@query("nst_09_special_tags", "SELECT p_partkey, array_to_string(list_transform([p_partkey % 7, p_size % 7, 0], lambda v: ['-', 'Y', 'Cb', 'Cr', 'R', 'G', 'B'][1 + v]), '') AS components FROM part")
-def nst_09(spark, d):
-    """Component numbers of a configuration as letters."""
-    names = F.array(*map(F.lit, ("-", "Y", "Cb", "Cr", "R", "G", "B")))
-    parts = [F.get(names, x.cast("int")) for x in (F.col("p_partkey") % 7, F.col("p_size") % 7, F.lit(0))]
-    return t(spark, d, "part").select("p_partkey", F.concat(*parts).alias("components"))
-
-
-@query("set_03_replace_all", "SELECT o_orderkey, o_orderpriority AS payload FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 5 <> 0")
-def set_03(spark, d):
-    o = t(spark, d, "orders")
-    fresh = o.where("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_orderpriority").alias("payload"))
-    return o.select("o_orderkey", F.col("o_orderstatus").alias("payload")).join(fresh.select("o_orderkey"), "o_orderkey", "left_anti").unionByName(fresh)

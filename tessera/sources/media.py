@@ -6,7 +6,9 @@ gives one row with an error instead of ending the job.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,17 @@ RESOURCE = "path string, seq int, id int, name string, data binary, error string
 PROFILE_TAG = "path string, seq int, signature string, type string, data binary, error string"
 
 
+#: What bytes that are not what they should be may raise in a kernel.
+ERRORS = (containers.Malformed, ValueError, IndexError, KeyError, OverflowError, TypeError, struct.error, zlib.error)
+#: Kernels by name for parts() and others to run instead of the known ones.
+PARSERS: dict[str, Callable] = {}
+
+
+def register_parser(kind: str, detect: Callable[[bytes], bool], parse: Callable[[bytes], Iterator]) -> None:
+    """One more kind of container: files that detect() tells are read by parse(), before all known kinds."""
+    PARSERS[kind] = (detect, parse)
+
+
 def read_media(spark: SparkSession, glob: str, max_bytes: int | None = None) -> DataFrame:
     """(path, length, content); the ceiling is pushed to the scan, so larger files are not read."""
     files = spark.read.format("binaryFile").load(glob).select("path", "length", "content")
@@ -40,8 +53,8 @@ def _rows(files: DataFrame, schema: str, kernel, **literals) -> DataFrame:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows = [[path, *row, None] for row in kernel(content, **literals)] if content is not None else []
-                except (containers.Malformed, ValueError, IndexError, OverflowError) as e:
-                    rows = [[path, *[None] * (len(names) - 2), str(e)]]
+                except ERRORS as e:
+                    rows = [[path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"]]
                 for row in rows:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
@@ -50,14 +63,41 @@ def _rows(files: DataFrame, schema: str, kernel, **literals) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def _parts(content: bytes):
-    for p in containers.parts(content):
-        yield p.seq, p.parent, p.depth, p.kind, p.type, p.offset, len(p.payload), p.payload
+def mapped(rows: DataFrame, columns: list[str], kernel: Callable, schema: str, keep: list[str] | None = None) -> DataFrame:
+    """rows(keep) with one more row of kernel(*columns) each: a tuple of the schema's columns; a kernel that fails gives nulls and
+    an error.  Batches are cut so that a task holds some rows' bytes at a time."""
+    keep = ["path"] if keep is None else keep
+    own = StructType.fromDDL(schema)
+    out = StructType([*(rows.schema[c] for c in keep), *own.fields]).add("error", "string")
+    arrow = to_arrow_schema(out)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                results = []
+                for values in zip(*(part.column(f"c{i}").to_pylist() for i in range(len(columns))), strict=True):
+                    try:
+                        results.append((*kernel(*values), None))
+                    except ERRORS as e:
+                        results.append((*[None] * len(own), f"{type(e).__name__}: {e}"))
+                made = [pa.array([r[i] for r in results], arrow.field(len(keep) + i).type) for i in range(len(own) + 1)]
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}").cast(arrow.field(i).type) for i in range(len(keep))), *made], schema=arrow)
 
-def parts(files: DataFrame) -> DataFrame:
-    """Ordered parts of JPEG, PNG, GIF, RIFF, ISO base media and JPEG XL files."""
-    return _rows(files, PART, _parts)
+    return rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, out)
+
+
+def parts(files: DataFrame, payload: bool = True) -> DataFrame:
+    """Ordered parts of JPEG, PNG, GIF, RIFF, ISO base media and JPEG XL files; without payloads only places and sizes leave
+    the workers."""
+    more = dict(PARSERS)
+
+    def rows(content: bytes):
+        own = next((parse for test, parse in more.values() if test(content)), containers.parts)
+        for p in own(content):
+            yield p.seq, p.parent, p.depth, p.kind, p.type, p.offset, len(p.payload), p.payload if payload else None
+
+    return _rows(files, PART, rows)
 
 
 def _tags(content: bytes):
@@ -95,11 +135,23 @@ def first_part(kind: str, value: str = "payload", order: str = "seq") -> Column:
     return F.min_by(value, F.when(F.col("type") == kind, F.col(order)))
 
 
-def convert(rows: DataFrame, column: str, kernel, name: str, kind: str = "binary") -> DataFrame:
-    """rows with name = kernel(column), batch by batch; nulls stay nulls."""
+def convert(rows: DataFrame, column: str, kernel, name: str, kind: str = "binary", error: str | None = None) -> DataFrame:
+    """rows with name = kernel(column), batch by batch; nulls stay nulls, and what a kernel cannot read becomes null.  A column
+    named by error says why."""
+    arrow = {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[kind]
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(f"value {kind}, error string")
     def own(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else kernel(v) for v in values.to_pylist()], {"binary": pa.binary(), "string": pa.string(), "long": pa.int64()}[kind])
-
-    return rows.withColumn(name, own(F.col(column)))
+        found, errors = [], []
+        for v in values.to_pylist():
+            try:
+                found.append(None if v is None else kernel(v))
+                errors.append(None)
+            except ERRORS as e:
+                found.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return pa.StructArray.from_arrays([pa.array(found, arrow), pa.array(errors, pa.string())], names=["value", "error"])
+
+    made = f"__{name}_made"
+    out = rows.withColumn(made, own(F.col(column))).withColumn(name, F.col(made)["value"])
+    return (out.withColumn(error, F.col(made)["error"]) if error else out).drop(made)

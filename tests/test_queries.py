@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans import carrier_queries, scalar_queries  # noqa: F401  registers
+from tessera.plans import carrier_queries, file_queries, pixel_queries, scalar_queries  # noqa: F401  registers
 from tessera.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
