@@ -1,20 +1,24 @@
 """Embedding near-dedup by collision-counting projections.
 
-Vectors are projected on many random directions.  In each of `tables` groups of `bits` projections, vectors on the same side
-of the centre in all of them form a tile, so that any pair meets in some tile with the recall asked for.  In a tile every
-vector is compared with the others by how many of COUNTED further projections have the other inside a window centred on it;
-pairs that reach the calibrated count are verified by cosine in double precision.  A pair counts in its first common tile
-only, so tiles report sums of links and a spanning forest, never pairs.
+Vectors are projected on many random directions.  Lists of single sorted projections over all vectors would meet in pairs
+quadratic in their number, so the lists are cut first: in each of `tables` groups of `bits` projections, vectors on the same
+side of the centre in all of them form a tile, such that any pair meets in some tile with the recall asked for.  In a tile,
+COUNTED further projections are sorted; every vector's window, centred on it, is an interval of each sorted list, and for
+each pair the lists are counted in which one lies in the other's window.  Pairs that reach the calibrated count, and no
+others, are verified by cosine in double precision.  A pair counts in its first common tile only, so tiles report sums of
+links and a spanning forest, never pairs.
 
 Calibration: for a sample of at most SAMPLE vectors (the smallest hashes), partners at exactly the threshold are made by
 rotation; `tables` is the least number that brings RECALL of these pairs together, and the count is the largest that the
 binomial law lets all but LOST of them reach.  `bits` grows with the logarithm of the number of vectors, so tiles stay small.
+Vectors for which MOST_TABLES do not reach the recall raise an error.
 
 Equal vectors are one class with a weight.  A tile of more than CHUNK classes is cut into pairs of chunks.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite components link with nothing; only vectors of
 one length are compared; rows with null ids link with nothing and are kept; rows that repeat an id are rows of their own
-that share it as a node; an empty table gives no rows; other columns are not read.
+that share it as a node; a pair of a cosine of just the threshold links; an empty table gives no rows; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, materialise, width
 
 COSINE, RECALL, LOST = 0.95, 0.975, 0.002
-SAMPLE, COUNTED, CHUNK, SEED = 2048, 16, 2048, 20260101
+SAMPLE, COUNTED, CHUNK, SEED, MOST_TABLES = 2048, 16, 2048, 20260101, 512
 
 
 def directions(dim: int, count: int) -> np.ndarray:
@@ -71,10 +75,32 @@ def calibrate(sample: np.ndarray, centre: np.ndarray, bits: int, cosine: float)
     tries = 64
     together = (table_keys(sample, centre, bits, tries) == table_keys(partner, centre, bits, tries)).mean(1)
     together = np.maximum(together, 0.25 / tries)
-    for tables in range(1, 512):
+    for tables in range(1, MOST_TABLES + 1):
         if (1 - (1 - together) ** tables).mean() >= RECALL:
             return tables
-    return 512
+    raise ValueError(f"{MOST_TABLES} tables of {bits} projections do not bring {RECALL} of the pairs together")
+
+
+class Windows:
+    """Sorted one-dimensional projections of a tile, and each vector's window of half width around it as an interval of ranks."""
+
+    def __init__(self, seen: np.ndarray, half: float) -> None:
+        order = np.argsort(seen, axis=0, kind="stable")
+        ranks = np.empty_like(order)
+        np.put_along_axis(ranks, order, np.arange(len(seen))[:, None], 0)
+        kind = np.int16 if len(seen) < 1 << 15 else np.int32
+        self.ranks = np.ascontiguousarray(ranks.T.astype(kind))
+        lists = np.take_along_axis(seen, order, 0)
+        ends = lambda side, where: np.stack([np.searchsorted(lists[:, j], seen[:, j] + side * half, where) for j in range(seen.shape[1])]).astype(np.int32)
+        self.low, self.high = ends(-1, "left"), ends(1, "right")
+
+    def collisions(self, a: int, b: int) -> np.ndarray:
+        """For vectors a .. b and those from a on: in how many lists the second lies in the first's window."""
+        near = np.zeros((b - a, self.ranks.shape[1] - a), np.uint8)
+        for ranks, low, high in zip(self.ranks, self.low, self.high, strict=True):
+            own = ranks[None, a:]
+            near += (own >= low[a:b, None]) & (own < high[a:b, None])
+        return near
 
 
 def _plan(centres, bits: int, tables: dict[int, int]):
@@ -102,7 +128,7 @@ def _tiles(centres, bits: int, tables: dict[int, int], cosine: float):
         dim, t, p, q = (rows.column(c)[0].as_py() for c in ("dim", "t", "p", "q"))
         x = unit(rows.column("v").combine_chunks())
         keys = table_keys(x, centres[dim], bits, tables[dim])[:, :t]
-        seen = (x @ directions(dim, COUNTED)).astype(np.float32)
+        windows = Windows(x @ directions(dim, COUNTED), half)
         total, up = np.zeros(len(x), np.int64), np.arange(len(x))
 
         def root(a):
@@ -112,15 +138,16 @@ def _tiles(centres, bits: int, tables: dict[int, int], cosine: float):
 
         for a in range(0, len(x), 128):
             b = min(len(x), a + 128)
-            near = np.zeros((b - a, len(x) - a), np.uint8)
-            for j in range(COUNTED):
-                near += np.abs(seen[a:b, j, None] - seen[None, a:, j]) <= half
-            link = (near >= need) & (np.arange(a, b)[:, None] < np.arange(a, len(x))[None, :])
+            link = (windows.collisions(a, b) >= need) & (np.arange(a, b)[:, None] < np.arange(a, len(x))[None, :])
             if p != q:
                 link &= side[a:b, None] != side[None, a:]
             if not link.any():
                 continue
-            link &= x[a:b] @ x[a:].T >= cosine
+            if link.mean() > 0.05:
+                link &= x[a:b] @ x[a:].T >= cosine
+            else:
+                i, j = np.nonzero(link)
+                link[i, j] = np.einsum("ij,ij->i", x[a + i], x[a + j]) >= cosine
             for k in range(t):
                 link &= keys[a:b, k, None] != keys[None, a:, k]
             total[a:b] += link @ w[a:]

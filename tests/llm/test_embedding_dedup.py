@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tessera.llm.embedding_dedup import COUNTED, LOST, near_vectors, window_count
+from tessera.llm.embedding_dedup import COUNTED, LOST, Windows, calibrate, near_vectors, window_count
 
 ROWS = "vec_id long, embedding array<float>, label int, kept int"
 
@@ -65,3 +65,34 @@ def test_odd_vectors(spark):
     rows = near_vectors(spark.createDataFrame([(None, one, 0, 0), (3, one, 0, 0), (3, one, 0, 0)], ROWS)).collect()
     assert sorted((r.vec_id or -1, r.n_links, r.kept) for r in rows) == [(-1, 0, True), (3, 1, True), (3, 1, True)]
     assert near_vectors(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_windows_of_sorted_lists_are_distances():
+    rng = np.random.default_rng(3)
+    seen = np.concatenate([rng.standard_normal((60, 5)), np.repeat(rng.standard_normal((1, 5)), 9, 0)])
+    got = Windows(seen, 0.4).collisions(10, 40)
+    want = (np.abs(seen[10:40, None] - seen[None, 10:]) <= 0.4).sum(2)
+    assert (got == want).all()
+
+
+def test_recall_just_over_the_threshold(spark):
+    """Planted pairs of cosines from 0.9501 to 0.96, the hardest to find."""
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((700, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pairs = [near(rng, b, 0.9501 + 0.0099 * rng.random()) for b in base]
+    vectors = [v.astype(np.float32).tolist() for v in [*base, *pairs]]
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, v, 0, 0) for i, v in enumerate(vectors)], ROWS)).collect()}
+    want = brute(vectors)
+    found, there = sum(r.n_links for r in got.values()), sum(n for n, _ in want)
+    print("recall", found / there)
+    assert there >= 1400 and found >= 0.95 * there
+    assert all(got[i].n_links <= n for i, (n, _) in enumerate(want))
+
+
+def test_tables_that_cannot_reach_the_recall_are_an_error(monkeypatch):
+    monkeypatch.setattr("tessera.llm.embedding_dedup.MOST_TABLES", 2)
+    x = np.random.default_rng(0).standard_normal((100, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    with pytest.raises(ValueError):
+        calibrate(x, x.mean(0), 40, 0.95)
