@@ -117,6 +117,18 @@ def test_restored_words_are_the_best_of_the_whole_lattice(corpus):
     assert model.restore("a1" * 50_000).count("1") < 50_000  # long ones too
 
 
+def test_words_that_are_not_restored_have_no_hit(corpus):
+    """The short way of value() against restoring every word."""
+    model = train_toxicity([(i, t, toxic) for i, t, _, toxic, _ in corpus])
+    model.lexicon |= {"ass$": 3.0, "loos": 2.5, "trass": 2.0}
+    rng = random.Random(6)
+    words = ["ass", "a$$", "aass!", "loose", "lloooser", "as$", "as$$", "tras$$", "TRASH!!", "hills$$$", "too!!", "vermi$$", "vermin!!", "blockhea|"]
+    words += ["".join(rng.choice("aasslootrvermin") * rng.choice((1, 1, 2, 3)) for _ in range(rng.randrange(1, 7))) + rng.choice(("", "!", "$$", "|", ".", "!!", "$!")) for _ in range(3000)]
+    for word in words:
+        assert model.value(word) == model.hit(model.word(word)), word
+    assert sum(model.value(w) > 0 for w in words) > 10
+
+
 def test_three_hundred_languages_are_all_learned(spark):
     rng = random.Random(9)
     rows = [(5 * k + j, " ".join(f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)}{rng.choice('abc')}" for _ in range(12)), f"l{k:03}") for k in range(300) for j in range(5)]
