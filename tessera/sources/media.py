@@ -46,19 +46,21 @@ def _rows(files: DataFrame, schema: str, kernel, **literals) -> DataFrame:
     """kernel(content) gives the columns between path and error for each row of a file."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     names = arrow.names
+    nothing = [None] * (len(names) - 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in names]
+            rows: list[tuple] = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first = len(rows)
                 try:
-                    rows = [[path, *row, None] for row in kernel(content, **literals)] if content is not None else []
+                    if content is not None:
+                        rows.extend((path, *row, None) for row in kernel(content, **literals))
                 except ERRORS as e:
-                    rows = [[path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"]]
-                for row in rows:
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, arrow, strict=True)], schema=arrow)
+                    del rows[first:]
+                    rows.append((path, *nothing, f"{type(e).__name__}: {e}"))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, arrow, strict=True)], schema=arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -106,11 +108,17 @@ def _tags(content: bytes):
     if not entries and warnings:
         raise ValueError(warnings[0])
     for e in entries:
-        text = isinstance(e.values, bytes)
-        kind = None if text else "nums" if e.type in (5, 10) else "floats" if e.type in (11, 12) else "ints"
-        pick = lambda k: list(e.values) if kind == k else None  # noqa: B023, E731
-        nums = [{"num": a, "den": b} for a, b in e.values] if kind == "nums" else None
-        yield e.ifd, e.tag, e.type, len(e.values), pick("ints"), nums, pick("floats"), e.values if text else None, e.offset
+        values = e.values
+        ints = nums = numbers = raw = None
+        if isinstance(values, bytes):
+            raw = values
+        elif e.type in (5, 10):
+            nums = [{"num": a, "den": b} for a, b in values]
+        elif e.type in (11, 12):
+            numbers = values
+        else:
+            ints = values
+        yield e.ifd, e.tag, e.type, len(values), ints, nums, numbers, raw, e.offset
 
 
 def tags(files: DataFrame) -> DataFrame:
