@@ -270,3 +270,38 @@ def test_samples_are_bounded_and_not_held_out(tables):
     docs, labels = tables
     rows = sample_texts(docs, labels.select("doc_id", F.col("toxic").alias("label")), crc_of_id() % 5 != 0, 10)
     assert len(rows) == 20 and not any(held(i, 5, 0) for i, _, _ in rows)
+
+
+def test_bags_against_a_plain_scorer(corpus):
+    """Each document by itself, passage by passage, with loops instead of arrays."""
+    import math
+
+    from tessera.llm.quality import train as train_quality
+
+    model = train_quality([(i, t, good) for i, t, _, _, good in corpus])
+    p = {k: v.tolist() for k, v in model.params.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda row, table, j: sum(a * table[i][j] for i, a in enumerate(row))
+    for text in [corpus[0][1], corpus[1][1] * 9, "", "x"]:
+        x, _ = measures(pa.array([text]))
+        weight, total = 0.0, [0.0] * len(p["eb"])
+        for row in x:
+            row = [max(-6.0, min(6.0, (a - s) / c)) for a, s, c in zip(row, model.shift, model.scale)]
+            code = [math.tanh(dot(row, p["e"], j) + b) for j, b in enumerate(p["eb"])]
+            gate = sum(math.tanh(dot(code, p["v"], j)) * sig(dot(code, p["u"], j)) * a for j, a in enumerate(p["a"]))
+            weight += math.exp(gate)
+            total = [t + math.exp(gate) * c for t, c in zip(total, code)]
+        want = sig(sum(t / weight * w for t, w in zip(total, p["w"])) + p["b"][0])
+        assert abs(float(model(pa.array([text]))[0]) - want) < 1e-9
+
+
+def test_measures_against_counting():
+    text = "The the cat sat. 12!! ÄÖ\n" * 60
+    x, owner = measures(pa.array(["one", text]))
+    raw = text.encode()
+    for i in range(len(x) - 1):
+        part = raw[PASSAGE * i : PASSAGE * (i + 1)]
+        assert abs(x[1 + i, 0] - sum(97 <= b <= 122 for b in part) / len(part)) < 1e-12
+        assert abs(x[1 + i, 2] - sum(48 <= b <= 57 for b in part) / len(part)) < 1e-12
+        assert abs(x[1 + i, 5] - sum(b >= 128 for b in part) / len(part)) < 1e-12
+    assert (owner == [0] + [1] * (len(x) - 1)).all()

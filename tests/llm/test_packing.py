@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -53,3 +54,67 @@ def test_empty_and_repeated(docs):
     assert pack(docs([])).count() == 0
     rows = pack(docs([None, "a", "a"], ids=[None, 1, 1])).collect()
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
+
+
+def piece_by_piece(lengths, capacity):
+    """The method itself, a bin and a piece at a time: how many bins."""
+    left, bins = sorted(lengths), []
+    while left:
+        own, gap = [], capacity
+        for x in sorted(left, reverse=True):
+            if x <= gap:
+                own.append(x)
+                gap -= x
+        if gap and len(own) > 1:
+            rest = list(left)
+            for x in own:
+                rest.remove(x)
+            small = min(own)
+            pairs = [a + b for i, a in enumerate(rest) for b in rest[i + 1 :] if a + b <= gap + small]
+            if pairs and max(pairs) > small:
+                best = max(pairs)
+                a, b = next((a, b) for i, a in enumerate(rest) for b in rest[i + 1 :] if a + b == best)
+                own.remove(small)
+                own += [a, b]
+        for x in own:
+            left.remove(x)
+        bins.append(own)
+    assert all(sum(b) <= capacity for b in bins)
+    return len(bins)
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place for each piece."""
+    best = len(lengths)
+
+    def place(i, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if i == len(lengths):
+            best = len(gaps)
+            return
+        for j in range(len(gaps)):
+            if gaps[j] >= lengths[i] and gaps[j] not in gaps[:j]:
+                place(i + 1, [*gaps[:j], gaps[j] - lengths[i], *gaps[j + 1 :]])
+        place(i + 1, [*gaps, capacity - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_histogram_plan_against_pieces_and_the_optimum():
+    rng = random.Random(2)
+    over = 0
+    for _ in range(150):
+        capacity = rng.randrange(4, 16)
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 10))]
+        plan = best_two_fit(np.bincount(lengths, minlength=capacity + 1), capacity)
+        assert sorted(x for times, members in plan for x, k in members for _ in range(k * times)) == sorted(lengths)
+        assert all(sum(x * k for x, k in members) <= capacity for _, members in plan)
+        bins = sum(times for times, _ in plan)
+        assert abs(bins - piece_by_piece(lengths, capacity)) <= 1  # pairs that tie may differ
+        optimum = fewest(lengths, capacity)
+        assert bins <= optimum + 1
+        over += bins > optimum
+    assert over <= 15
