@@ -373,9 +373,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, base: DataFrame, words: int,
     return materialise(both.mapInArrow(_verify(percent), "a long, b long"), "links")
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    """One row for each salt of a frequent shingle, to meet rows that have one of them."""
-    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+def _salted(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each salt of a frequent shingle, dealt by keys and salt, to meet rows that have one of them."""
+    each = rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return each.repartition(*keys, "salt")  # else the join would keep to the keys that the rows were summed by
 
 
 def _components(base: DataFrame, words: int, percent: int) -> DataFrame:
@@ -397,7 +398,7 @@ def _components(base: DataFrame, words: int, percent: int) -> DataFrame:
     shared = live.groupBy("rep").agg((F.sum("w") / F.first("n")).alias("shared"))
     rated = live.join(shared, "rep")
     leaders = rated.groupBy("sid", "band").agg(F.min(F.struct(-F.col("shared"), "n", "rep")).alias("top"), F.first("salts").alias("salts"))
-    leaders = _salted(leaders.select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"), "salts"))
+    leaders = _salted(leaders.select("sid", "band", F.col("top.rep").alias("lead"), F.col("top.n").alias("lead_n"), "salts"), "sid", "band")
     near = [live.join(leaders.withColumn("band", F.col("band") + shift), ["sid", "band", "salt"]) for shift in (0, 1)]
     stars = near[0].unionByName(near[1]).where(f"rep <> lead and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     stars = stars.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
@@ -409,7 +410,7 @@ def _components(base: DataFrame, words: int, percent: int) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(0).alias("up")), F.struct((F.col("band") - 1).alias("tile"), F.lit(1).alias("up")))).alias("t")
     placed = placed.select("sid", "rep", "n", "comp", "salt", "salts", both).select("sid", "rep", "n", "comp", "salt", "salts", "t.*")
     open_tiles = placed.groupBy("sid", "tile").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"), F.min("up").alias("up"), F.first("salts").alias("salts"))
-    open_tiles = _salted(open_tiles.where("x <> y and up = 0").select("sid", "tile", F.ceil(F.col("c") / CHUNK).cast("int").alias("k"), "salts"))
+    open_tiles = _salted(open_tiles.where("x <> y and up = 0").select("sid", "tile", F.ceil(F.col("c") / CHUNK).cast("int").alias("k"), "salts"), "sid", "tile")
     rest = placed.drop("salts").join(open_tiles, ["sid", "tile", "salt"]).withColumn("i", F.pmod(F.hash("rep"), F.col("k")))
     chunk = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("i", j).alias("p"), F.greatest("i", j).alias("q"), F.when(j == F.col("i"), 2).otherwise((F.col("i") > j).cast("int")).alias("side")))
     rest = rest.select("sid", "tile", "up", "rep", F.col("n").cast("long").alias("n"), "comp", F.explode(chunk).alias("t")).select("sid", "tile", "up", "rep", "n", "comp", "t.*")
