@@ -134,15 +134,21 @@ def png_write(parts: list[Part]) -> bytes:
 
 def png_text(part: Part, ceiling: int = 16 << 20) -> tuple[str, str] | None:
     """(keyword, text) of tEXt, zTXt and iTXt; None if broken or over the ceiling once inflated."""
+    found = png_international(part, ceiling)
+    return found[:2] if found else None
+
+
+def png_international(part: Part, ceiling: int = 16 << 20) -> tuple[str, str, str, str] | None:
+    """(keyword, text, language, translated keyword); the last two are empty but in iTXt."""
     key, _, rest = part.payload.partition(b"\0")
-    packed, charset = False, "latin-1"
+    packed, charset, language, translated = False, "latin-1", b"", b""
     if part.type == "zTXt":
         packed, rest = True, rest[1:]
     elif part.type == "iTXt":
-        if len(rest) < 2:
+        if len(rest) < 2 or rest[2:].count(b"\0") < 2:
             return None
         packed, rest = rest[0] == 1, rest[2:]
-        rest = rest.split(b"\0", 2)[-1]
+        language, translated, rest = rest.split(b"\0", 2)
         charset = "utf-8"
     elif part.type != "tEXt":
         return None
@@ -151,7 +157,7 @@ def png_text(part: Part, ceiling: int = 16 << 20) -> tuple[str, str] | None:
         if plain is None:
             return None
         rest = plain
-    return key.decode("latin-1"), rest.decode(charset, "replace")
+    return key.decode("latin-1"), rest.decode(charset, "replace"), language.decode("latin-1"), translated.decode("utf-8", "replace")
 
 
 def inflate(data: bytes, ceiling: int) -> bytes | None:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from tessera.dims import tags as dims
 from tessera.functions import columns as C
 from tessera.kernels import carriers, containers, tiff, xmp
-from tessera.plans.queries import _COLOURS, _boxes, _jpeg, _order_files, _png, _riff, packed, query, t
+from tessera.plans.queries import _COLOURS, _boxes, _jpeg, _order_files, _png, packed, query, t
 from tessera.sources import media as M
-from tessera.sources import sinks
 
 # --- projections and filters over tags
 
@@ -54,9 +53,6 @@ def agg_08(spark, d):
     return parts.groupBy("path").agg(F.count("*").cast("int").alias("parts"), F.sum("size").alias("bytes")).select(F.col("path").cast("long").alias("p_partkey"), "parts", "bytes")
 
 
-# --- composers
-
-
 # --- XMP
 
 
@@ -153,10 +149,11 @@ def str_09(spark, d):
     return rows.select("doc_id", F.md5(F.unhex(hexed)).alias("text_md5"))
 
 
-@query("jon_14_palette_lookup", "SELECT p_partkey, coalesce([" + ", ".join(str(r) for r, _, _ in _COLOURS) + "][1 + p_partkey % 11], 0) AS red FROM part")
+@query("jon_14_palette_lookup", "SELECT p_partkey, " + ", ".join(f"coalesce([{', '.join(str(c[i]) for c in _COLOURS)}][1 + p_partkey % 11], {_COLOURS[0][i]}) AS {n}" for i, n in enumerate(("red", "green", "blue"))) + " FROM part")
 def jon_14(spark, d):
-    reds = F.array(*[F.lit(r) for r, _, _ in _COLOURS])
-    return t(spark, d, "part").select("p_partkey", F.coalesce(F.get(reds, (F.col("p_partkey") % 11).cast("int")), F.lit(0)).alias("red"))
+    """Colours of indexes; an index outside the palette has the first colour."""
+    colours = F.array(*[F.struct(*(F.lit(v).alias(n) for n, v in zip(("red", "green", "blue"), c, strict=True))) for c in _COLOURS])
+    return t(spark, d, "part").select("p_partkey", F.coalesce(F.get(colours, (F.col("p_partkey") % 11).cast("int")), F.get(colours, F.lit(0))).alias("c")).select("p_partkey", "c.*")
 
 
 @query("nst_10_bit_fields", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_partkey >> 8) & 255 AS id, l_partkey & 255 AS value FROM lineitem")

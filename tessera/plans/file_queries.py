@@ -5,8 +5,8 @@ The SQL beside a query builds the expected bytes or values from the tables alone
 
 from __future__ import annotations
 
+import hashlib
 import struct
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -797,7 +797,7 @@ def prj_21(spark, d):
 
 @query("src_35_jumbf_description", "SELECT p_partkey, p_name AS label, p_partkey AS id, upper(sha256(p_brand)) AS signature FROM part")
 def src_35(spark, d):
-    made = packed(t(spark, d, "part"), "p_partkey", ["p_partkey", "p_name", "p_brand"], lambda k, n, b: notes.jumbf_description(b"json", n, k, __import__("hashlib").sha256(b.encode()).digest()))
+    made = packed(t(spark, d, "part"), "p_partkey", ["p_partkey", "p_name", "p_brand"], lambda k, n, b: notes.jumbf_description(b"json", n, k, hashlib.sha256(b.encode()).digest()))
 
     def run(x):
         own = carriers.jumbf_description(x)

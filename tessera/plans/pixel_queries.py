@@ -5,7 +5,13 @@ Expected values are made in SQL from the tables, or are published examples.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import struct
+import tempfile
+import uuid
+import zlib
+from datetime import date
 
 import numpy as np
 from pyspark.sql import Window
@@ -14,10 +20,12 @@ from pyspark.sql import functions as F
 from tessera.dims import tags as dims
 from tessera.kernels import carriers, codecs, containers, fax, files, icc, meta, notes, raster, text, tiff, xmp
 from tessera.operators import records as R
-from tessera.plans.file_queries import GIF_FRAME, GIF_HEAD, P, be, box_sql, crc, jpeg, le, lit, long_key, md5_of, png, riff_sql
+from tessera.plans.file_queries import GIF_FRAME, GIF_HEAD, P, _ifd, _noted, be, jpeg, le, lit, long_key, md5_of, png, riff_sql
 from tessera.plans.queries import packed, query, t
 from tessera.sources import media as M
 from tessera.sources import ranges, sinks
+from tessera.streaming import filters
+from tessera.streaming import media as streams
 
 E = tiff.Entry
 
@@ -503,8 +511,6 @@ def dat_08(spark, d):
 
     def run(value):
         if not value.isdigit():
-            from datetime import date
-
             date.fromisoformat(value)
             meta.apply_info(jpeg(), {"date": value})
         return (True,)
@@ -655,8 +661,6 @@ def src_26(spark, d):
 @query("src_25_directory_anywhere", "SELECT p_partkey, p_name AS value FROM part")
 def src_25(spark, d):
     """A directory inside other bytes, whose values are counted from a base."""
-    from tessera.plans.file_queries import _ifd
-
     def run(name, k):
         lead = bytes(10 + k % 50)
         block = lead + _ifd([(7, 2, name.encode() + b"\0")], 0, ">")
@@ -686,23 +690,24 @@ def src_33(spark, d):
 
 
 def _saved(spark, rows, name: str):
-    """rows(path, content) saved in a folder of this run; the rows with their new paths."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        folder = f"{base.removeprefix('file://').removeprefix('file:')}/tessera-files-{spark.sparkContext.applicationId}/{name}"
-    else:
-        folder = f"{tempfile.gettempdir()}/tessera-files-{spark.sparkContext.applicationId}/{name}"
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    """rows(path, content) saved in a new folder that driver and workers share; the rows with their new paths."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = "/" + base[5:].lstrip("/") if base.startswith("file:") else base
+    folder = f"{base}/tessera-files-{name}-{uuid.uuid4().hex[:12]}"
+    system, own = ranges.target_of(folder)
+    system.create_dir(own, recursive=True)
+    atexit.register(_removed, folder)
     placed = rows.select(F.concat(F.lit(folder + "/"), "path").alias("path"), "content")
-    done = ranges.save(placed)
-    done.write.format("noop").mode("overwrite").save()
+    ranges.save(placed).write.format("noop").mode("overwrite").save()
     return rows.select(F.concat(F.lit(folder + "/"), "path").alias("path"))
 
 
+def _removed(folder: str) -> None:
+    system, own = ranges.target_of(folder)
+    with contextlib.suppress(OSError):
+        system.delete_dir(own)
+
+
 def _key():
     return F.substring_index("path", "/", -1).cast("long")
 
@@ -1119,6 +1124,110 @@ def flt_09(spark, d):
     return M.mapped(t(spark, d, "part"), ["p_size"], run, "fits boolean", ["p_partkey"]).drop("error")
 
 
+# --- more of containers and packets
+
+
+@query("str_10_international_text", "SELECT p_partkey, unnest(['plain', 'packed', 'told']) AS keyword, unnest([p_name, p_name || p_name, p_name || ' ü日']) AS value, unnest(['', '', 'de-CH']) AS language, unnest(['', '', 'Schlüssel']) AS translated FROM part")
+def str_10(spark, d):
+    """tEXt, zTXt and iTXt with their languages and translated keywords."""
+    make = lambda n: png(("tEXt", b"plain\0" + n.encode()), ("zTXt", b"packed\0\0" + zlib.compress((n + n).encode())), ("iTXt", b"told\0\1\0de-CH\0" + "Schlüssel".encode() + b"\0" + zlib.compress((n + " ü日").encode())))
+    made = packed(t(spark, d, "part"), "p_partkey", ["p_name"], make)
+    rows = M._rows(made, "path string, keyword string, value string, language string, translated string, error string", lambda c: (x for p in containers.png_parts(c) if (x := containers.png_international(p))))
+    return long_key(rows, "p_partkey", "keyword", "value", "language", "translated")
+
+
+@query("src_15_riff_kinds", "SELECT p_partkey, unnest(['RIFF', 'RIFX', 'RF64']) AS mark, unnest([p_name, p_name, p_name]) AS data FROM part")
+def src_15(spark, d):
+    """Little- and big-endian files, and one whose sizes stand in ds64."""
+
+    def run(name):
+        body = name.encode()
+        wide = b"RF64\xff\xff\xff\xffWAVE" + b"ds64" + struct.pack("<IQQQI", 28, 0, len(body), 0, 0) + b"data\xff\xff\xff\xff" + body
+        made = {"RIFF": containers.riff_write("WAVE", [P(0, -1, 0, "chunk", "data", 0, body)]), "RIFX": containers.riff_write("WAVE", [P(0, -1, 0, "chunk", "data", 0, body)], ">"), "RF64": wide}
+        return ([{"mark": x[:4].decode(), "data": next(p.payload for p in containers.riff_parts(x) if p.type == "data").decode()} for x in made.values()],)
+
+    made = M.mapped(t(spark, d, "part"), ["p_name"], run, "r array<struct<mark:string,data:string>>", ["p_partkey"])
+    return made.select("p_partkey", F.explode("r").alias("r")).select("p_partkey", "r.*")
+
+
+@query("src_21_box_lookups", "SELECT p_partkey, 'isom' AS brand, 'mp41,avc1' AS compatible, md5(p_name) AS first_md5, 2 AS boxes FROM part")
+def src_21(spark, d):
+    """PRJ-07: brands, the first box of a type, and how many there are, over exploded boxes."""
+    make = lambda n: struct.pack(">I4s", 24, b"ftyp") + b"isom\0\0\0\0mp41avc1" + b"".join(struct.pack(">I4s", 8 + len(x), b"note") + x for x in (n.encode(), b"second"))
+    made = packed(t(spark, d, "part"), "p_partkey", ["p_name"], make)
+    brands = M.mapped(made, ["content"], lambda c: (files.bmff_brands(c)[0], ",".join(files.bmff_brands(c)[1])), "brand string, compatible string")
+    notes_of = M.parts(made).groupBy("path").agg(F.md5(M.first_part("note")).alias("first_md5"), F.count_if(F.col("type") == "note").cast("int").alias("boxes"))
+    return long_key(brands.join(notes_of, "path"), "p_partkey", "brand", "compatible", "first_md5", "boxes")
+
+
+@query("prj_07_children", "SELECT c_custkey, 'INFO' AS parent, array_to_string(list_transform(range(1, CAST(2 + c_custkey % 3 AS BIGINT)), lambda i: 'I00' || i), ',') AS children FROM customer")
+def prj_07(spark, d):
+    """A list's own children in order, by a join of parts with their parents."""
+    make = lambda k, n: containers.riff_write("AVI ", [P(0, -1, 0, "list", "INFO", 0, b""), *(P(10 + i, 0, 1, "chunk", f"I{i:03d}", 0, n.encode()) for i in range(1, 2 + k % 3)), P(1, -1, 0, "chunk", "idx1", 0, b"")])
+    parts = M.parts(packed(t(spark, d, "customer"), "c_custkey", ["c_custkey", "c_name"], make), payload=False)
+    lists = parts.where("kind = 'list'").select("path", F.col("seq").alias("parent"), F.col("type").alias("list"))
+    own = parts.join(lists, ["path", "parent"]).groupBy("path", "list").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "type"))), lambda x: x["type"]), ",").alias("children"))
+    return long_key(own, "c_custkey", F.col("list").alias("parent"), "children")
+
+
+@query("src_30_packets", "SELECT p_partkey, unnest(['wrapped', 'bare', 'attributes']) AS form, p_name AS label FROM part")
+def src_30(spark, d):
+    """Packets in their wrapper and without, properties as elements and as attributes; declarations of entities are refused."""
+
+    def run(name):
+        wrapped = xmp.write({"xmp:Label": name}, 50)
+        bare = wrapped[wrapped.index("?>") + 2 : wrapped.rindex("<?xpacket")].strip()
+        short = f'<rdf:RDF xmlns:rdf="{xmp.RDF}"><rdf:Description rdf:about="" xmlns:q="{xmp.NAMESPACES["xmp"]}" q:Label="{name}"/></rdf:RDF>'
+        if xmp.read("<!DOCTYPE x>" + bare) is not None:
+            raise ValueError("a declaration was read")
+        return ([{"form": k, "label": xmp.read(x)["xmp:Label"]} for k, x in (("wrapped", wrapped), ("bare", bare), ("attributes", short))],)
+
+    made = M.mapped(t(spark, d, "part"), ["p_name"], run, "r array<struct<form:string,label:string>>", ["p_partkey"])
+    return made.select("p_partkey", F.explode("r").alias("r")).select("p_partkey", "r.*")
+
+
+@query("prj_08_icc_header_fields", "SELECT p_partkey, '4.' || (p_size % 10) || '.0' AS version, 'mntr' AS device_class, 'RGB' AS space, 'XYZ' AS pcs, printf('%04d-01-02 03:04:05', CAST(1990 + p_partkey % 60 AS INTEGER)) AS created, left(p_brand, 4) AS manufacturer, CAST(p_size % 4 AS BIGINT) AS intent, p_partkey AS flags FROM part")
+def prj_08(spark, d):
+    """Version, class, spaces, date, maker, intent and flags of a profile's header."""
+
+    def make(k, s, brand):
+        return bytes(8) + bytes([4, (s % 10) << 4]) + bytes(2) + b"mntrRGB XYZ " + struct.pack(">6H", 1990 + k % 60, 1, 2, 3, 4, 5) + b"acsp" + bytes(4) + struct.pack(">I", k) + brand.encode()[:4] + bytes(12) + struct.pack(">I", s % 4) + bytes(64)
+
+    def run(content):
+        h = carriers.icc_header(content)
+        return h["version"], h["class"], h["space"], h["pcs"], h["created"], h["manufacturer"], h["intent"], h["flags"]
+
+    made = packed(t(spark, d, "part"), "p_partkey", ["p_partkey", "p_size", "p_brand"], make)
+    return long_key(M.mapped(made, ["content"], run, "version string, device_class string, space string, pcs string, created string, manufacturer string, intent long, flags long"), "p_partkey", "version", "device_class", "space", "pcs", "created", "manufacturer", "intent", "flags")
+
+
+@query("win_07_curve_inverse", "SELECT p_partkey, round(CASE WHEN y < 0.25 THEN 2 * y ELSE 0.5 + (y - 0.25) / 1.5 END, 2) AS x FROM (SELECT p_partkey, (p_partkey % 256) / CAST(255 AS DOUBLE) AS y FROM part)")
+def win_07(spark, d):
+    """The inverse of a rising sampled curve, as a transform looks it up in 4096 samples."""
+    curve = b"curv" + bytes(4) + struct.pack(">IHHH", 3, 0, 16384, 65535)
+    places = np.linspace(0, 1, 4096)
+    back = np.interp(places, np.maximum.accumulate(icc.curve(curve)(places)), places)
+
+    rows = t(spark, d, "part").select("p_partkey", ((F.col("p_partkey") % 256) / 255).alias("y"))
+    made = M.mapped(rows, ["y"], lambda y: (float(back[int(y * 4095 + 0.5)]),), "x double", ["p_partkey"])
+    return made.select("p_partkey", F.round("x", 2).alias("x"))
+
+
+@query("stm_04_continuous_parts", "SELECT s_suppkey, 4 AS parts, strlen(s_name) AS comment_bytes FROM supplier")
+def stm_04(spark, d):
+    """Files of a folder as a stream: their parts are written as they come and read when the stream has seen all."""
+    paths = _saved(spark, packed(t(spark, d, "supplier"), "s_suppkey", ["s_name"], lambda n: jpeg((0xFE, n.encode()))), "stream")
+    folder = paths.first().path.rsplit("/", 1)[0]
+    out = f"{folder}-parts-{uuid.uuid4().hex[:8]}"
+    rows = M.parts(streams.read_media_stream(spark, folder), payload=False)
+    run = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    for left in (out, f"{out}-checkpoint"):
+        atexit.register(_removed, left)
+    parts = spark.read.schema(rows.schema).parquet(out)
+    return parts.groupBy("path").agg(F.count("*").cast("int").alias("parts"), F.max(F.when(F.col("kind") == "comment", F.col("size"))).alias("comment_bytes")).select(_key().alias("s_suppkey"), "parts", "comment_bytes")
+
+
 # --- extension
 
 
@@ -1139,8 +1248,6 @@ def ext_01(spark, d):
 @query("ext_02_makers", "SELECT p_partkey, 'Own' AS maker, p_name AS value FROM part")
 def ext_02(spark, d):
     """A maker of one's own, registered where the kernel runs."""
-    from tessera.plans.file_queries import _ifd, _noted
-
     def run(name):
         notes.register_maker("Own", ("own cameras",), (notes.Variant("Own", "Own", (b"OWN\0",), 4),))
         note = notes.note_of(_noted(b"Own Cameras", lambda at: b"OWN\0" + _ifd([(7, 2, name.encode()[:30] + b"\0")], at + 4, "<")))
@@ -1152,8 +1259,6 @@ def ext_02(spark, d):
 @query("ext_04_named_filters", "SELECT p_partkey, md5(p_name) AS through_lzw, md5(p_brand) AS through_packbits FROM part")
 def ext_04(spark, d):
     """STM-02: codecs as functions of SQL by their names, registered once."""
-    from tessera.streaming import filters
-
     filters.register(spark)
     t(spark, d, "part").createOrReplaceTempView("tessera_part")
     return spark.sql("SELECT p_partkey, md5(tessera_lzw_decode(tessera_lzw_encode(cast(p_name AS binary)))) AS through_lzw, md5(tessera_packbits_decode(tessera_packbits_encode(cast(p_brand AS binary)))) AS through_packbits FROM tessera_part")
@@ -1173,8 +1278,6 @@ def ext_06(spark, d):
 @query("stm_01_chunked_codecs", "SELECT p_partkey, unnest(['lzw', 'packbits', 'predictor']) AS codec, md5(repeat(p_name, 20)) AS plain_md5 FROM part")
 def stm_01(spark, d):
     """Codes that come in chunks of seven bytes: what a chunk leaves unfinished waits for the next one."""
-    from tessera.streaming import filters
-
     def run(name, codec):
         plain = name.encode() * 20
         coded = filters.FILTERS[f"{codec}_encode"](plain)

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators import records as R
 from tessera.plans.queries import query, t
 from tessera.sources import media as M
 

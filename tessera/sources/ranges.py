@@ -167,7 +167,7 @@ def copy_range(source: str, offset: int, length: int, target, block: int = BLOCK
     return done
 
 
-def _target(path: str):
+def target_of(path: str):
     system, own = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     return system, own
 
@@ -175,7 +175,7 @@ def _target(path: str):
 def save_bytes(path: str, pieces: Iterator[bytes | tuple[str, int, int]]) -> int:
     """Writes pieces (bytes, or ranges that are copied in blocks) beside the path and moves them over it when all is written, so
     that a reader sees the old file or the new one.  A task that is run twice writes the same file twice."""
-    system, own = _target(path)
+    system, own = target_of(path)
     beside, size = f"{own}.{uuid.uuid4().hex[:8]}.part", 0
     try:
         with system.open_output_stream(beside) as out:
@@ -220,7 +220,7 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        system, own = _target(self.path)
+        system, own = target_of(self.path)
         found = system.get_file_info(fs.FileSelector(own, recursive=True)) if system.get_file_info(own).type == fs.FileType.Directory else [system.get_file_info(own)]
         prefix = self.path[: len(self.path) - len(own)] if self.path.endswith(own) else ""
         return [_File(prefix + f.path) for f in sorted(found, key=lambda f: f.path) if f.type == fs.FileType.File]
