@@ -484,6 +484,49 @@ def bmff_set_item(data: bytes, number: int, value: bytes) -> bytes:
     return bytes(out)
 
 
+def bmff_add_item(data: bytes, kind: bytes, value: bytes, name: str = "") -> bytes:
+    """The file with one more item at the end: its info and location are put into the meta box, which grows, and the places of
+    items behind it are moved by as much.  Films, whose samples are found by place too, take no items."""
+    parts = list(containers.box_parts(data))
+    meta = next((p for p in parts if p.type == "meta" and p.depth == 0), None)
+    own = {p.type: p for p in parts if meta is not None and p.parent == meta.seq}
+    if meta is None or "iinf" not in own or "iloc" not in own or any(p.type == "moov" for p in parts):
+        raise NoHome("the file takes no items")
+    before = bmff_items(data)
+    number = max((i["id"] for i in before), default=0) + 1
+    info, loc = own["iinf"].payload, own["iloc"].payload
+    version, sizes = loc[0], (loc[4] >> 4, loc[4] & 15, loc[5] >> 4, loc[5] & 15 if loc[0] else 0)
+    if not sizes[0] or not sizes[1]:
+        raise NoHome("places of items have no bytes")
+    infe = b"\2\0\0\0" + struct.pack(">HH", number, 0) + kind + name.encode() + b"\0"
+    wide = 2 if info[0] == 0 else 4
+    info = info[:4] + (int.from_bytes(info[4 : 4 + wide], "big") + 1).to_bytes(wide, "big") + info[4 + wide :] + struct.pack(">I4s", len(infe) + 8, b"infe") + infe
+    wide = 4 if version == 2 else 2
+    entry = number.to_bytes(wide, "big") + (b"\0\0" if version else b"") + b"\0\0" + bytes(sizes[2]) + b"\0\1" + bytes(sizes[3]) + bytes(sizes[0]) + len(value).to_bytes(sizes[1], "big")
+    loc = loc[:6] + (int.from_bytes(loc[6 : 6 + wide], "big") + 1).to_bytes(wide, "big") + loc[6 + wide :] + entry
+    start, size, head, _ = next(b for b in boxes(data) if b[0] == meta.offset)
+    body = data[start + head : start + head + 4]
+    for at, n, h, k in boxes(data[start + head + 4 : start + size]):
+        inner = data[start + head + 4 + at : start + head + 4 + at + n]
+        fresh = {b"iinf": info, b"iloc": loc}.get(k)
+        body += inner if fresh is None else struct.pack(">I4s", len(fresh) + 8, k) + fresh
+    grown = struct.pack(">I4s", len(body) + 8, b"meta") + body
+    out = bytearray(data[:start] + grown + data[start + size :])
+    out += struct.pack(">I4s", len(value) + 8, b"mdat")
+    place = len(out)
+    out += value
+    for item in bmff_items(bytes(out)):
+        for at, _, field_at, offset_size, _, base in item["extents"]:
+            if item["id"] == number:
+                at = place
+            elif item["construction"] == 0 and at >= start + size:
+                at += len(grown) - size
+            if (at - base).bit_length() > 8 * offset_size:
+                raise NoHome(f"item {item['id']} cannot be pointed to at {at}")
+            out[field_at : field_at + offset_size] = (at - base).to_bytes(offset_size, "big")
+    return bytes(out)
+
+
 def bmff_brands(data: bytes) -> tuple[str, list[str]] | None:
     box = next((data[a + h : a + n] for a, n, h, k in boxes(data) if k == b"ftyp"), None)
     return None if box is None else (box[:4].decode("latin-1"), [box[i : i + 4].decode("latin-1") for i in range(8, len(box) - 3, 4)])
@@ -526,9 +569,7 @@ def _bmff_put(data: bytes, carrier: str, value: bytes | None) -> bytes:
     if carrier == "exif":
         item = next((i for i in bmff_items(data) if i["type"] == "Exif"), None)
         if item is None:
-            if value is None:
-                return data
-            raise NoHome("the file has no Exif item")
+            return data if value is None else bmff_add_item(data, b"Exif", bytes(4) + value)
         return bmff_set_item(data, item["id"], b"" if value is None else bytes(4) + value)
     if carrier == "icc":
         box = next((p for p in containers.box_parts(data) if p.type == "colr" and p.payload[:4] in (b"prof", b"rICC")), None)

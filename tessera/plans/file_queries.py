@@ -254,6 +254,21 @@ def upd_05_items(spark, d):
     return long_key(M.mapped(rows, ["content", "p_name"], run, "data binary, bytes long, zeroed boolean"), "p_partkey", F.md5("data").alias("data_md5"), "bytes", "zeroed")
 
 
+@query("upd_05_add_item", "SELECT p_partkey, md5(p_name) AS old_md5, md5(p_brand) AS new_md5, 'mime,Exif' AS types FROM part")
+def upd_05_added(spark, d):
+    """One more item: the meta box before the media grows, and the old item is still found."""
+
+    def run(content, brand):
+        out = files.put(content, "exif", brand.encode())
+        items = files.bmff_items(out)
+        return files.bmff_item_data(out, items[0]), files.get(out, "exif"), ",".join(i["type"] for i in items)
+
+    made = packed(t(spark, d, "part"), "p_partkey", ["p_name"], lambda n: _item_file(n.encode(), b"mime"))
+    rows = made.join(t(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_brand"), "path")
+    out = M.mapped(rows, ["content", "p_brand"], run, "old binary, new binary, types string")
+    return long_key(out, "p_partkey", F.md5("old").alias("old_md5"), F.md5("new").alias("new_md5"), "types")
+
+
 _JXL = bytes.fromhex("ff0acb060013880200f000b5")
 
 

@@ -269,9 +269,6 @@ def jon_10(spark, d):
     return R.scrub(_tagged(spark, d), dims.private_tags(spark), ["grp", "tag"], _MASK)[0]
 
 
-_MAKERS = [("canon", "1", 1), ("nikon", "2", 2), ("nikon", "", 3), ("fuji", "3", 4), ("", "9", 5)]
-
-
 _COLOURS = [(0, 0, 0), (255, 255, 255), (255, 0, 0), (0, 255, 0), (0, 0, 255), (128, 128, 128), (255, 255, 0), (0, 128, 128)]
 
 
@@ -282,9 +279,6 @@ def jon_12(spark, d):
     return rows.select("p_partkey", R.nearest_colour(rows, _COLOURS, "r", "g", "b").alias("idx"))
 
 
-_FORMS = [("urgent", "Seq"), ("high", "Bag"), ("medium", "Alt"), ("low", "Simple")]
-
-
 # --- merges --------------------------------------------------------------------------------------
 
 

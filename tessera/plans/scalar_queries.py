@@ -91,9 +91,6 @@ def dat_08(spark, d):
     return t(spark, d, "events").select("event_id", iptc.alias("iptc"), F.regexp_replace(iptc, "^(\\d{4})(\\d{2})(\\d{2})$", "$1-$2-$3").alias("iso"))
 
 
-_LAB = "(l + 16) / 116"
-
-
 @query("mth_13_half_floats", "SELECT p_partkey, CASE WHEN e = 0 THEN m * pow(2.0::DOUBLE, -24) WHEN e = 31 THEN NULL ELSE (1024 + m) * pow(2.0::DOUBLE, e - 25) END * CASE WHEN h >= 32768 THEN -1 ELSE 1 END AS v FROM (SELECT p_partkey, h, h // 1024 % 32 AS e, h % 1024 AS m FROM (SELECT p_partkey, p_partkey * 31337 % 65536 AS h FROM part))")
 def mth_13(spark, d):
     """Half floats with subnormals; infinities and NaNs are null."""
