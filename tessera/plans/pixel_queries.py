@@ -211,9 +211,9 @@ def _raw_tiff(photo: int, samples: bytes, width: int, bits: list[int], order: st
 
 
 @query("ras_01_photometrics", """
-    SELECT p_partkey, photo, CASE photo
+    SELECT p_partkey, photo, array_to_string(CASE photo
         WHEN 'white is zero' THEN [255 - v, 255 - v, 255 - v] WHEN 'black is zero' THEN [v, v, v] WHEN 'rgb' THEN [v, 255 - v, 7] WHEN 'palette' THEN [v, 3, 9]
-        WHEN 'cmyk' THEN [(255 - v) * 245 // 255, 245, 245] WHEN 'ycbcr' THEN [v, v, v] WHEN 'sixteen bits' THEN [v, v, v] ELSE [(v % 2) * 255, (v % 2) * 255, (v % 2) * 255] END AS rgb
+        WHEN 'cmyk' THEN [(255 - v) * 245 // 255, 245, 245] WHEN 'ycbcr' THEN [v, v, v] WHEN 'sixteen bits' THEN [v, v, v] ELSE [(v % 2) * 255, (v % 2) * 255, (v % 2) * 255] END, ',') AS rgb
     FROM (SELECT p_partkey, CAST(p_partkey % 256 AS INTEGER) AS v FROM part), (VALUES ('white is zero'), ('black is zero'), ('rgb'), ('palette'), ('cmyk'), ('ycbcr'), ('sixteen bits'), ('one bit')) AS p(photo)""")
 def ras_01(spark, d):
     """A pixel in each kind of colours and depths."""
@@ -232,11 +232,11 @@ def ras_01(spark, d):
             "sixteen bits": lambda: _raw_tiff(1, struct.pack(order + "H", v * 257), 1, [16], order),
             "one bit": lambda: _raw_tiff(1, bytes([(v % 2) << 7]), 1, [1], order),
         }[photo]()
-        return ([int(x) for x in raster.tiff_rgb(data)[0, 0]],)
+        return (",".join(str(int(x)) for x in raster.tiff_rgb(data)[0, 0]),)
 
     names = ("white is zero", "black is zero", "rgb", "palette", "cmyk", "ycbcr", "sixteen bits", "one bit")
     rows = t(spark, d, "part").select("p_partkey", F.explode(F.array(*map(F.lit, names))).alias("photo"))
-    return M.mapped(rows, ["p_partkey", "photo"], run, "rgb array<int>", ["p_partkey", "photo"]).drop("error")
+    return M.mapped(rows, ["p_partkey", "photo"], run, "rgb string", ["p_partkey", "photo"]).drop("error")
 
 
 @query("ras_03_gif_pixels", f"SELECT p_partkey, unnest([0, 1]) AS frame, unnest([{_RGB}, {_GREY}]) AS pixels_md5 FROM part")
@@ -289,9 +289,9 @@ def agg_14(spark, d):
     return long_key(frames, "p_partkey", (F.col("frame") - 1).cast("int").alias("frame"), "number", whole.alias("data_md5"))
 
 
-@query("ras_04_pictures", "SELECT p_partkey, CAST(p_partkey % 256 AS INTEGER) AS mean, CAST(floor(0.299::DOUBLE * (p_partkey % 256) + 0.587::DOUBLE * (p_size * 5) + 0.114::DOUBLE * 7 + 0.5) AS INTEGER) AS light, [p_partkey % 256, 255 - p_partkey % 256, p_partkey % 256] AS through_cmyk, 2 AS colours FROM part")
+@query("ras_04_pictures", "SELECT p_partkey, CAST(p_partkey % 256 AS INTEGER) AS mean, CAST(floor(0.299::DOUBLE * (p_partkey % 256) + 0.587::DOUBLE * (p_size * 5) + 0.114::DOUBLE * 7 + 0.5) AS INTEGER) AS light, concat_ws(',', p_partkey % 256, 255 - p_partkey % 256, p_partkey % 256) AS through_palette, 2 AS colours FROM part")
 def ras_04(spark, d):
-    """Resampling, lights, CMYK and back for greys, and palettes, of the numpy library."""
+    """Resampling, lights, a colour through a palette, and palettes of the picture's own colours, of the numpy library."""
 
     def run(k, size):
         v = k % 256
@@ -302,9 +302,9 @@ def ras_04(spark, d):
         wide = np.concatenate([odd, odd], 1)
         own, colours = raster.quantise(wide)
         back = colours[own][0, 1]
-        return int(raster.resample(flat, 2, 3)[0, 0, 0]), int(raster.mono(one)[0, 0]), [int(x) for x in back], len(palette)
+        return int(raster.resample(flat, 2, 3)[0, 0, 0]), int(raster.mono(one)[0, 0]), ",".join(str(int(x)) for x in back), len(palette)
 
-    made = M.mapped(t(spark, d, "part"), ["p_partkey", "p_size"], run, "mean int, light int, through_cmyk array<long>, colours int", ["p_partkey"])
+    made = M.mapped(t(spark, d, "part"), ["p_partkey", "p_size"], run, "mean int, light int, through_palette string, colours int", ["p_partkey"])
     return made.drop("error")
 
 
@@ -353,7 +353,7 @@ def ras_09(spark, d):
 _SRGB = [[0.4361, 0.3851, 0.1431], [0.2225, 0.7169, 0.0606], [0.0139, 0.0971, 0.7141]]
 
 
-@query("prj_09_icc_tags", "SELECT p_partkey, p_name AS description, p_brand AS copyright, [round(0.9642 * 65536) / 65536, 1.0, p_size / CAST(65536 AS DOUBLE)] AS white, 'de-DE,en-US' AS languages FROM part")
+@query("prj_09_icc_tags", "SELECT p_partkey, p_name AS description, p_brand AS copyright, CAST(round(0.9642 * 65536) AS DOUBLE) / 65536 AS white_x, CAST(1 AS DOUBLE) AS white_y, p_size / CAST(65536 AS DOUBLE) AS white_z, 'de-DE,en-US' AS languages FROM part")
 def prj_09(spark, d):
     """NST-07: localised texts (English before others), plain texts, and numbers of XYZ."""
 
@@ -362,10 +362,10 @@ def prj_09(spark, d):
 
     def run(profile):
         own = icc.tags(profile)
-        return icc.tag_text(own["desc"]), icc.tag_text(own["cprt"]), icc.tag_numbers(own["wtpt"]), ",".join(sorted(text.mluc_read(own["desc"])))
+        return icc.tag_text(own["desc"]), icc.tag_text(own["cprt"]), *icc.tag_numbers(own["wtpt"]), ",".join(sorted(text.mluc_read(own["desc"])))
 
     made = packed(t(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_size"], make)
-    return long_key(M.mapped(made, ["content"], run, "description string, copyright string, white array<double>, languages string"), "p_partkey", "description", "copyright", "white", "languages")
+    return long_key(M.mapped(made, ["content"], run, "description string, copyright string, white_x double, white_y double, white_z double, languages string"), "p_partkey", "description", "copyright", "white_x", "white_y", "white_z", "languages")
 
 
 @query("mth_07_icc_curves", """
