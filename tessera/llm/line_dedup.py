@@ -53,8 +53,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     places = materialise(places.select("rid", "pos", _leaf(F.col("masked"), depth).alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("mark")), "lines")
     # lines of leaves that recur, a document once
     leaves = places.select("rid", "leaf").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    own = docs.select(F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _masked))).alias("masked")).where("masked <> ''")
-    own = own.withColumn("leaf", _leaf(F.col("masked"), depth)).withColumn("salt", F.pmod(F.xxhash64("masked"), F.lit(SALTS)))
+    own = docs.select("rid", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _masked))).alias("masked")).where("masked <> ''")
+    own = own.withColumn("leaf", _leaf(F.col("masked"), depth)).withColumn("salt", F.pmod(F.xxhash64("masked", "rid"), F.lit(SALTS)))
     leaves = leaves.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")).repartition("leaf", "salt")  # a leaf's lines in several tasks
     own = own.join(leaves, ["leaf", "salt"], "left_semi")
     lines = materialise(own.groupBy("leaf", "masked").agg(F.count("*").alias("docs")).withColumn("mark", F.xxhash64("masked", F.lit(1))), "masked-lines")
