@@ -39,10 +39,13 @@ def packed(rows: DataFrame, key: str, columns: list[str], build) -> DataFrame:
     """(path, content): build(*columns) of each row as a file's bytes; null texts count as empty."""
     blank = [isinstance(rows.schema[c].dataType, StringType) for c in columns]
 
-    def run(batches):
+    def files_of(batches):
         for batch in batches:
-            values = zip(*([v or "" for v in x] if text else x for x, text in zip((batch.column(c).to_pylist() for c in columns), blank, strict=True)), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("__key").cast(pa.string()), pa.array([build(*v) for v in values], pa.binary())], names=["path", "content"])
+            for path, *values in M.values_of(batch.set_column(0, "__key", batch.column(0).cast(pa.string())), ["__key", *columns]):
+                yield path, build(*("" if text and v is None else v for v, text in zip(values, blank, strict=True)))
+
+    def run(batches):
+        return M.bounded(files_of(batches), pa.schema([("path", pa.string()), ("content", pa.binary())]))
 
     return rows.select(F.col(key).alias("__key"), *columns).mapInArrow(run, "path string, content binary")
 

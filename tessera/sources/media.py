@@ -42,25 +42,53 @@ def read_media(spark: SparkSession, glob: str, max_bytes: int | None = None) ->
     return files.where(F.col("length") <= max_bytes) if max_bytes is not None else files
 
 
+#: About so many bytes of results are one batch; a longer row is a batch of its own.
+HELD, MOST_ROWS = 8 << 20, 4096
+
+
+def values_of(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple]:
+    """Rows of some columns as Python's values, one at a time."""
+    return zip(*((x.as_py() for x in batch.column(c)) for c in columns), strict=True) if columns else iter([()] * batch.num_rows)
+
+
+def weight(value) -> int:
+    """About the bytes that a value takes."""
+    if isinstance(value, bytes | str):
+        return len(value)
+    if isinstance(value, dict):
+        return weight(list(value.items()))
+    return 8 + sum(map(weight, value)) if isinstance(value, list | tuple) else 8
+
+
+def bounded(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that are cut by bytes: what the rows of a batch make may be a thousand times as long as what they are made of."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += weight(row)
+        if size >= HELD or len(held) >= MOST_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
 def _rows(files: DataFrame, schema: str, kernel, **literals) -> DataFrame:
     """kernel(content) gives the columns between path and error for each row of a file."""
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    names = arrow.names
-    nothing = [None] * (len(names) - 2)
+    nothing = [None] * (len(arrow) - 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                first = len(rows)
+            for path, content in values_of(batch, ["path", "content"]):
                 try:
-                    if content is not None:
-                        rows.extend((path, *row, None) for row in kernel(content, **literals))
+                    own = [(path, *row, None) for row in kernel(content, **literals)] if content is not None else []
                 except ERRORS as e:
-                    del rows[first:]
-                    rows.append((path, *nothing, f"{type(e).__name__}: {e}"))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(columns, arrow, strict=True)], schema=arrow)
+                    own = [(path, *nothing, f"{type(e).__name__}: {e}")]
+                yield from own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return bounded(rows(batches), arrow)
 
     return files.select("path", "content").mapInArrow(run, schema)
 
@@ -75,16 +103,18 @@ def mapped(rows: DataFrame, columns: list[str], kernel: Callable, schema: str, k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                results = []
-                for values in zip(*(part.column(f"c{i}").to_pylist() for i in range(len(columns))), strict=True):
-                    try:
-                        results.append((*kernel(*values), None))
-                    except ERRORS as e:
-                        results.append((*[None] * len(own), f"{type(e).__name__}: {e}"))
-                made = [pa.array([r[i] for r in results], arrow.field(len(keep) + i).type) for i in range(len(own) + 1)]
-                yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}").cast(arrow.field(i).type) for i in range(len(keep))), *made], schema=arrow)
+            done = 0
+            for made in bounded(results(batch), pa.schema(list(arrow)[len(keep) :])):
+                part = batch.slice(done, made.num_rows)
+                done += made.num_rows
+                yield pa.RecordBatch.from_arrays([*(part.column(f"k{i}").cast(arrow.field(i).type) for i in range(len(keep))), *made.columns], schema=arrow)
+
+    def results(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for values in values_of(batch, [f"c{i}" for i in range(len(columns))]):
+            try:
+                yield *kernel(*values), None
+            except ERRORS as e:
+                yield *[None] * len(own), f"{type(e).__name__}: {e}"
 
     return rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).mapInArrow(run, out)
 

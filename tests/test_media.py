@@ -1,10 +1,12 @@
 """Files on disk, streams of them, broken ones, and streamed codecs."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.kernels import codecs, containers, tiff
 from tessera.kernels.containers import Part
+from tessera.plans.queries import packed
 from tessera.sources import media, sinks
 from tessera.streaming import media as streams
 
@@ -61,3 +63,51 @@ def test_codec_state_is_kept_between_batches(spark, tmp_path):
     for r in spark.sql("SELECT * FROM unpacked").orderBy("stream_id", "seq").collect():
         got[r.stream_id] = got.get(r.stream_id, b"") + bytes(r.data)
     assert got == plain
+
+
+class Steps:
+    """Takes the place of a DataFrame: keeps the function of mapInArrow."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_made_files_are_cut_by_bytes(spark):
+    """A batch of 300 rows whose files have a megabyte each does not become 300 megabytes at once."""
+    made = []
+
+    def build(k):
+        made.append(k)
+        return bytes(1 << 20)
+
+    run = packed(Steps(spark.createDataFrame([], "k long").schema), "k", ["k"], build)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300))] * 2, names=["__key", "k"])
+    batches = run(iter([batch]))
+    first = next(batches)
+    assert len(made) == first.num_rows <= 16
+    assert [p for b in (first, *batches) for p in b.column("path").to_pylist()] == [str(k) for k in range(300)]
+
+
+def test_results_are_cut_by_bytes(spark):
+    """What mapped() makes of 200 rows of a batch is not held at once either, and the rows kept beside it stay with theirs."""
+    made = []
+
+    def kernel(k):
+        made.append(k)
+        if k == 7:
+            raise ValueError("seven")
+        return str(k), bytes(1 << 20)
+
+    run = media.mapped(Steps(spark.createDataFrame([], "k long").schema), ["k"], kernel, "label string, content binary", ["k"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200))] * 2, names=["k0", "c0"])
+    batches = run(iter([batch]))
+    first = next(batches)
+    assert len(made) == first.num_rows <= 16
+    rows = [(r["k"], r["label"], r["error"]) for b in (first, *batches) for r in b.select(["k", "label", "error"]).to_pylist()]
+    assert rows == [(k, None, "ValueError: seven") if k == 7 else (k, str(k), None) for k in range(200)]
