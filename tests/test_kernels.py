@@ -1,11 +1,12 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.kernels import carriers, codecs, containers, tiff
+from tessera.kernels import carriers, codecs, containers, raster, tiff
 from tessera.kernels.containers import Part
 
 BYTES = st.one_of(st.binary(max_size=400), st.builds(lambda b, n: b * n, st.binary(min_size=1, max_size=6), st.integers(1, 900)))
@@ -106,3 +107,12 @@ def test_broken_files_only_raise_malformed(mark, rest):
         list(containers.parts(mark + rest))
     except containers.Malformed:
         pass
+
+
+def test_lights_at_halves():
+    """Pixels whose light is a half: 0.299 R + 0.587 G + 0.114 B + 0.5, summed in this order, tells which way they go."""
+    pixels = [(223, 75, 7), (53, 165, 7), (223, 75, 7), (0, 0, 0), (255, 255, 255)]
+    want = [int(np.floor(0.299 * r + 0.587 * g + 0.114 * b + 0.5)) for r, g, b in pixels]
+    assert want[:2] == [112, 113]
+    assert raster.mono(np.array([pixels], np.uint8))[0].tolist() == want
+    assert [int(raster.mono(np.array([[p]], np.uint8))[0, 0]) for p in pixels] == want
