@@ -798,7 +798,12 @@ def agg_03(spark, d):
     """A JUMBF box over several segments by its instance and their numbers; each repeats the box's header."""
     rows = t(spark, d, "part").where("p_partkey % 20 = 0")
     made = packed(rows, "p_partkey", ["p_name"], lambda n: files.put(jpeg(), "jumbf", notes.jumbf_xml("label", n * 20000)))
-    out = M.mapped(edits.carrier(made, "jumbf").drop("error"), ["value"], lambda x: (notes.jumbf_read(x)[0]["label"], notes.jumbf_read(x)[0]["content"]), "label string, content binary")
+
+    def run(x):
+        first = notes.jumbf_read(x)[0]
+        return first["label"], first["content"]
+
+    out = M.mapped(edits.carrier(made, "jumbf").drop("error"), ["value"], run, "label string, content binary")
     return long_key(out, "p_partkey", "label", F.md5("content").alias("content_md5"))
 
 
