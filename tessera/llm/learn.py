@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,20 @@ def apart(sample: list[tuple[int, str, object]], words: int = 5, marks: int = 4)
     seen: set = set()
     out = []
     for row in sample:
-        hashes, _ = shingle_sets(pa.array([row[1]]), words)
-        own = set(hashes[:marks].tolist()) or {row[1]}
+        own = set(least_shingles(pa.array([row[1]]), words, marks)[0])
         if own.isdisjoint(seen):
             out.append(row)
         seen |= own
     return out
 
 
+def least_shingles(texts: pa.Array, words: int = 5, marks: int = 4) -> list[list[int]]:
+    """The least word shingles of each text; of a text without a word, a print of the text."""
+    hashes, at = shingle_sets(texts, words)
+    hashes = hashes.view(np.int64)
+    return [hashes[a : min(b, a + marks)].tolist() if b > a else [xxhash.xxh3_64_intdigest(texts[i].as_py().encode()) - (1 << 63)] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
+
+
 def adam(params: dict[str, np.ndarray], gradient: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], rows: int, epochs: int, batch: int, rate: float, decay: float = 0.0, seed: int = 0) -> None:
     """Trains params in place; gradient(params, row numbers) gives what to descend along."""
     rng, step = np.random.default_rng(seed), 0
@@ -77,13 +84,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 def logistic(x: np.ndarray, y: np.ndarray, prior: float = 0.5, decay: float = 1e-3, rounds: int = 30) -> np.ndarray:
     """Weights of a ridge logistic regression by Newton steps; the last one is the bias.  Class 1 counts for prior of all."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    share = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
-    ridge = decay * np.eye(x.shape[1])
+    sizes = np.array([(y == k).sum() for k in (0, 1)])
+    return newton(lambda w: newton_sums(x, y, w, prior, sizes), x.shape[1], decay, rounds)
+
+
+def newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Second and first derivatives of some rows; sizes: how many rows there are of class 0 and of class 1 in all."""
+    share = np.where(y == 1, prior / max(1, sizes[1]), (1 - prior) / max(1, sizes[0]))
+    p = sigmoid(x @ w)
+    return (x * (share * p * (1 - p))[:, None]).T @ x, x.T @ (share * (p - y))
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int, decay: float = 1e-3, rounds: int = 30) -> np.ndarray:
+    """Weights by steps over sums of all rows."""
+    ridge = decay * np.eye(n)
     ridge[-1, -1] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (share * (p - y)) + ridge @ w)
+        second, first = sums(w)
+        step = np.linalg.solve(second + ridge, first + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

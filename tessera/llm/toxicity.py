@@ -9,8 +9,8 @@ that hits the lexicon hardest counts.  Letters doubled once shrink only in words
 Restored words are then scored: a lexicon of words and word beginnings (4 to 6 letters) with their log odds between toxic and
 clean documents, and a logistic regression on how many words of a document hit it and how hard.
 
-Training takes at most per_class documents of each label by hash of id, near copies once.  A third of the clean ones tell which
-words are known; of the rest the lexicon is learned on one half and the regression on the other, then the lexicon on both.  Scoring reads every word of every text; a worker keeps what it knows of distinct words.
+Training takes all labelled documents that are not held out, near copies once.  A third of the clean ones tell which words are
+known; of the rest the lexicon is learned on one half and the regression on the other, then the lexicon on both.  Scoring reads every word of every text; a worker keeps what it knows of distinct words.
 
 Defined cases: null or empty text has no hit and gets the lowest score; without labels of both kinds every score is 0; ids may
 be null or repeat, each row is scored alone; of readings that tie in price the first in the order of LEET counts; a score of
@@ -19,8 +19,11 @@ exactly 0.5 predicts 1; an empty table gives no rows; other columns, of any name
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import BLANK, crc_of_id, held, slices, strings, view, wrapped
-from tessera.llm.learn import apart, logistic, sample_texts, sigmoid
+from tessera.llm.common import BLANK, by_number, crc_of_id, held, let_go, materialise, numbered, scope, slices, strings, view, width, wrapped
+from tessera.llm.learn import apart, least_shingles, logistic, newton, newton_sums, sigmoid
 
-PER_CLASS = 2000
 PREFIXES = (4, 5, 6)
-LEAST_DOCS, LEAST_ODDS = 4, 2.0
+LEAST_DOCS, TOXIC_SHARE, LEAST_ODDS = 4, 1000, 2.0  # a feature stands in 4 toxic documents, and in one of 1000
+LEAST_KNOWN, KNOWN_SHARE = 2, 50_000  # a known word stands in 2 clean documents, and in one of 50000
 PRIOR = 0.2  # weight of toxic documents in the regression: clean ones should stay
 #: What marks and digits stand for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -65,16 +68,10 @@ class Model:
 
     # --- character model
 
-    def learn_letters(self, words: Counter) -> None:
+    def learn_letters(self, counts: dict[str, int]) -> None:
+        """From what count_letters() counts."""
         two: dict[str, float] = {}
-        three: dict[str, float] = {}
-        for w, n in words.items():
-            if w.isalpha():
-                weight = 1 + float(np.log(n))
-                padded = f"\0\0{w}\0"
-                for i in range(len(w) + 1):
-                    key = padded[i : i + 3]
-                    three[key] = three.get(key, 0.0) + weight
+        three = {key: n / (1 << 20) for key, n in sorted(counts.items())}
         for key, n in three.items():
             two[key[1:]] = two.get(key[1:], 0.0) + n
         after: dict[str, dict[str, float]] = {}
@@ -226,46 +223,106 @@ def inputs(hits, total, top, words) -> np.ndarray:
     return np.stack([np.log1p(hits), np.log1p(total), top, np.log((hits + 0.05) / (words + 5.0))], 1)
 
 
+def fold_of(doc_id) -> int:
+    """One of six parts of the training documents."""
+    return zlib.crc32(f"{doc_id}t".encode()) % 6
+
+
+def tells_known(label, fold) -> bool:
+    """Whether a document tells which words are known: two sixths of the clean ones.  How a word is read depends on whether
+    clean documents have it, so these are not counted again: their own words would be read in another way than those of toxic
+    documents."""
+    return (label == 0) & (fold < 2)
+
+
+def count_words(text: str, known: bool, counts: Counter, docs: Counter) -> None:
+    """Adds how often a text has its words of letters, and those words once if it tells which are known."""
+    low = text.lower().split()
+    counts.update(w for x in low if (w := x.strip(EDGE)).isalpha())
+    if known:
+        docs.update({w for x in low if (w := x.strip(PLAIN_EDGE)).isalpha()})
+
+
+def count_letters(words: Iterable[tuple[str, int]], counts: Counter) -> None:
+    """Adds the trigrams of words that occur n times, in units of 2**-20 so that sums do not depend on their order."""
+    for w, n in words:
+        weight = round((1 + math.log(n)) * (1 << 20))
+        padded = f"\0\0{w}\0"
+        for i in range(len(w) + 1):
+            counts[padded[i : i + 3]] += weight
+
+
+def least_known(n: int) -> int:
+    """In so many of n documents that tell which words are known a word stands at least."""
+    return max(LEAST_KNOWN, -(-n // KNOWN_SHARE))
+
+
+def least_toxic(n: int) -> int:
+    return max(LEAST_DOCS, -(-n // TOXIC_SHARE))
+
+
+def lexicon(counts: dict[str, np.ndarray], sizes: np.ndarray, cells: list[int]) -> dict[str, float]:
+    """Log odds of features by the documents that have them; cells 2 * half + label of counts and of sizes."""
+    clean, toxic = ([c for c in cells if c % 2 == y] for y in (0, 1))
+    n0, n1 = sizes[clean].sum(), sizes[toxic].sum()
+    out = {}
+    for f, n in counts.items():
+        if (c := n[toxic].sum()) >= least_toxic(n1):
+            w = math.log((c + 0.5) / (n1 + 1)) - math.log((n[clean].sum() + 0.5) / (n0 + 1))
+            if w >= LEAST_ODDS:
+                out[f] = w
+    return out
+
+
+def steps(sizes: np.ndarray) -> tuple[list[int], list[int]] | None:
+    """The cells that the lexicon and then the regression learn from: halves that have both labels, else all; None without."""
+    if not sizes[[0, 2]].sum() or not sizes[[1, 3]].sum():
+        return None
+    return ([0, 1], [2, 3]) if sizes.all() else ([0, 1, 2, 3], [0, 1, 2, 3])
+
+
+class Reader:
+    """Features of a text; words that have been read are kept for later ones."""
+
+    def __init__(self, model: Model, capacity: int = 200_000) -> None:
+        self.model, self.capacity, self.known = model, capacity, {}
+
+    def __call__(self, text: str) -> set[str]:
+        if len(self.known) > self.capacity:
+            self.known.clear()
+        found: set[str] = set()
+        for x in set(text.split()):
+            if (own := self.known.get(x)) is None:
+                own = self.known[x] = features(self.model.word(x))
+            found.update(own)
+        return found
+
+
 def train(sample: list[tuple[int, str, object]]) -> Model:
+    """What learn() makes of tables, of a few rows at hand."""
     model = Model()
-    once = [(t, int(y)) for _, t, y in apart(sample)]
-    words = Counter(w for t, _ in once for w in (x.strip(EDGE) for x in t.lower().split()) if w)
-    model.learn_letters(words)
-    # how a word is read depends on whether clean documents have it, so these are not counted again: their own words would
-    # be read in another way than those of toxic documents
-    known_clean = {t for t, y in [r for r in once if not r[1]][::3]}
-    model.clean = {w for t in known_clean for w in (x.strip(PLAIN_EDGE) for x in t.lower().split()) if w.isalpha()}
-    once = [r for r in once if r[0] not in known_clean]
-    if len({y for _, y in once}) < 2:
+    rows = [(t, int(y), fold_of(i)) for i, t, y in apart(sorted(sample, key=lambda r: r[0]))]
+    counts, docs, letters = Counter(), Counter(), Counter()
+    for t, y, k in rows:
+        count_words(t, tells_known(y, k), counts, docs)
+    count_letters(counts.items(), letters)
+    model.learn_letters(letters)
+    least = least_known(sum(tells_known(y, k) for _, y, k in rows))
+    model.clean = {w for w, n in docs.items() if n >= least}
+    rows = [(t, y, 2 * (k % 2) + y) for t, y, k in rows if not tells_known(y, k)]
+    sizes = np.bincount([c for *_, c in rows], minlength=4)
+    if not (chosen := steps(sizes)):
         return model
-    known: dict[str, str] = {}
-
-    def words_of(text: str) -> list[str]:
-        return [known[x] if x in known else known.setdefault(x, model.word(x)) for x in text.split()]
-
-    def learn_lexicon(part) -> None:
-        nonlocal known
-        seen = [Counter(), Counter()]
-        for t, y in part:
-            seen[y].update({f for w in set(words_of(t)) for f in features(w)})
-        n = [sum(y == k for _, y in part) for k in (0, 1)]
-        odds = {f: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][f] + 0.5) / (n[0] + 1)) for f, c in seen[1].items() if c >= LEAST_DOCS}
-        model.lexicon = {f: float(w) for f, w in odds.items() if w >= LEAST_ODDS}
-        known = {x: w for x, w in known.items() if SIGNS.isdisjoint(x)}  # how signs are read depends on the lexicon
-
-    def table(part):
-        part = [(words_of(t), y) for t, y in part]
-        rows = [[h for w in ws if (h := model.hit(w)) > 0] for ws, _ in part]
-        return inputs(*(np.array(x, float) for x in ([len(r) for r in rows], [sum(r) for r in rows], [max(r, default=0) for r in rows], [len(ws) for ws, _ in part]))), np.array([y for _, y in part])
-
-    halves = once[::2], once[1::2]
-    if all(len({y for _, y in h}) == 2 for h in halves):
-        learn_lexicon(halves[0])
-        model.weights = logistic(*table(halves[1]), PRIOR)
-    else:
-        learn_lexicon(once)
-        model.weights = logistic(*table(once), PRIOR)
-    learn_lexicon(once)
+    reader, seen = Reader(model), {}
+    for t, _, c in rows:
+        for f in reader(t):
+            seen.setdefault(f, np.zeros(4, np.int64))[c] += 1
+    model.lexicon = lexicon(seen, sizes, chosen[0])
+    part = [r for r in rows if r[2] in chosen[1]]
+    x, y = inputs(*Scorer(model).stats(pa.array([t for t, *_ in part]))), np.array([y for _, y, _ in part])
+    model.__dict__.pop("bound", None)  # that of this lexicon
+    model.weights = logistic(x, y, PRIOR)
+    model.lexicon = lexicon(seen, sizes, [0, 1, 2, 3])
     return model
 
 
@@ -280,6 +337,10 @@ class Scorer:
         self.model, self.capacity, self.known = model, capacity, {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        return self.model.score(*self.stats(texts))
+
+    def stats(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text how many words hit, how hard in all and at most, and how many words it has."""
         data, offsets = view(texts)
         n = len(texts)
         hits, total, top, words = (np.zeros(n) for _ in range(4))
@@ -317,7 +378,7 @@ class Scorer:
                         hits[owner[p]] += 1
                         total[owner[p]] += h
                         top[owner[p]] = max(top[owner[p]], h)
-        return self.model.score(hits, total, top, words)
+        return hits, total, top, words
 
 
 def _scorer(shared) -> Scorer:
@@ -349,15 +410,143 @@ def _score(shared: _Shared):
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """A model from rows of labels(doc_id, toxic) that are not held out."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
-    return train(sample_texts(docs, rows, crc_of_id() % 5 != 0, per_class))
+AT_ONCE = 200_000  # counts that a task holds before it sends them
+
+
+def _marks(batches):
+    """A text's least shingles as one value: texts that share one are near copies (learn.apart)."""
+    let_go()
+    for batch in slices(batches, "text", 2 << 20):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(least_shingles(batch.column("text")), pa.list_(pa.int64()))], names=["doc_id", "rid", "marks"])
+
+
+def _words(batches):
+    counts, docs = Counter(), Counter()
+
+    def sums():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[w] for w in counts], pa.int64())], names=["word", "n", "docs"])
+
+    for batch in slices(batches, "text", 2 << 20):
+        for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
+            count_words(text, tells_known(label, fold), counts, docs)
+            if len(counts) > AT_ONCE:
+                yield sums()
+                counts, docs = Counter(), Counter()
+    if counts:
+        yield sums()
+
+
+def _letters(batches):
+    counts = Counter()
+    for batch in batches:
+        count_letters(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True), counts)
+        if len(counts) > AT_ONCE:
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
+            counts = Counter()
+    if counts:
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["key", "n"])
+
+
+def _features(shared: _Shared):
+    def run(batches):
+        reader = held(("toxic words", shared.id), lambda: Reader(shared.value))
+        counts: Counter = Counter()
+
+        def sums():
+            names, cells = zip(*counts, strict=True)
+            n = np.zeros((4, len(counts)), np.int64)
+            n[np.array(cells), np.arange(len(counts))] = list(counts.values())
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, n)], names=["feature", "c0", "c1", "c2", "c3"])
+
+        for batch in slices(batches, "text", 2 << 20):
+            for text, cell in zip(batch.column("text").to_pylist(), batch.column("cell").to_pylist(), strict=True):
+                counts.update((f, cell) for f in reader(text))
+                if len(counts) > AT_ONCE:
+                    yield sums()
+                    counts = Counter()
+        if counts:
+            yield sums()
+
+    return run
+
+
+def _stats(shared: _Shared):
+    def run(batches):
+        scorer = _scorer(shared)
+        for batch in slices(batches, "text", 4 << 20):
+            x = inputs(*scorer.stats(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in x.T), batch.column("label")], names=["x0", "x1", "x2", "x3", "label"])
+
+    return run
+
+
+def _fitted(rows: DataFrame, sizes: np.ndarray) -> np.ndarray:
+    """logistic() over rows(x0 .. x3, label): each step sums over all rows where they are, a row a task reaches the driver."""
+    rows = rows.repartition(width(rows.sparkSession))
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            h, g = np.zeros((5, 5)), np.zeros(5)
+            for batch in batches:
+                x = np.stack([batch.column(i).to_numpy() for i in range(4)], 1)
+                a, b = newton_sums(np.hstack([x, np.ones((len(x), 1))]), batch.column("label").to_numpy(), w, PRIOR, sizes)
+                h, g = h + a, g + b
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(h.ravel(), g).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+        total = np.sum([r.sums for r in rows.mapInArrow(run, "sums array<double>").collect()], 0)  # 30 numbers a task
+        return total[:25].reshape(5, 5), total[25:]
+
+    return newton(sums, 5)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model from all rows of labels(doc_id, toxic) that are not held out, whole texts, near copies once.
+
+    Texts meet their labels once and are written; all counts and sums are made where they lie.  The driver gets the trigrams of
+    letters, the known words and the features of toxic documents that the thresholds leave."""
+    spark = docs.sparkSession
+    learnable = F.col("doc_id").isNotNull() & (crc_of_id() % 5 != 0)
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(learnable & F.col("label").isin(0, 1))
+    one = one.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learnable)
+    fold = (F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("t")).cast("binary")) % 6).cast("int")
+    with scope(spark):
+        base = numbered(texts.join(one.hint("shuffle_hash"), "doc_id").withColumn("fold", fold), "training")
+        marks = base.select("doc_id", "rid", "text").mapInArrow(_marks, "doc_id long, rid long, marks array<long>")
+        classes = materialise(marks.groupBy("marks").agg(F.min(F.struct("doc_id", "rid")).alias("own")), "near-copies")
+        each = classes.select("own", F.explode("marks").alias("mark"))
+        first = each.groupBy("mark").agg(F.min("own").alias("first"))
+        once = each.join(first, "mark").groupBy("own").agg(F.min((F.col("own") == F.col("first")).cast("int")).alias("kept")).where("kept = 1")
+        once = materialise(once.select("own.rid"), "once")
+        known = tells_known(F.col("label"), F.col("fold"))
+        rows = by_number(base, once, "inner").select("label", "fold", "text", known.alias("known"), (F.col("fold") % 2 * 2 + F.col("label")).alias("cell"))
+        n = {(r.known, r.cell): r["count"] for r in rows.groupBy("known", "cell").count().collect()}  # a row a cell
+        model = Model()
+        words = rows.select("text", "label", "fold").mapInArrow(_words, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        words = materialise(words, "words")
+        letters = words.select("word", "n").mapInArrow(_letters, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+        model.learn_letters(dict(zip(letters.column("key").to_pylist(), letters.column("n").to_pylist(), strict=True)))
+        least = least_known(sum(v for (k, _), v in n.items() if k))
+        model.clean = set(words.where(F.col("docs") >= least).select("word").toArrow().column("word").to_pylist())
+        sizes = np.array([n.get((False, c), 0) for c in range(4)])
+        if not (chosen := steps(sizes)):
+            return model
+        counted = rows.where("not known").select("text", "cell").mapInArrow(_features(_Shared(spark, model)), "feature string, c0 long, c1 long, c2 long, c3 long")
+        counted = counted.groupBy("feature").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(4)))
+        least = least_toxic(sizes[[c for c in chosen[0] if c % 2]].sum())  # all toxic documents ask for as many or more
+        found = counted.where(F.col("c1") + F.col("c3") >= int(least)).toArrow().to_pydict()
+        seen = {f: np.array(c) for f, *c in zip(*(found[c] for c in ("feature", "c0", "c1", "c2", "c3")), strict=True)}
+        model.lexicon = lexicon(seen, sizes, chosen[0])
+        x = rows.where(~F.col("known") & F.col("cell").isin(chosen[1])).select("text", "label").mapInArrow(_stats(_Shared(spark, model)), "x0 double, x1 double, x2 double, x3 double, label int")
+        by_label = np.array([sizes[[c for c in chosen[1] if c % 2 == y]].sum() for y in (0, 1)])
+        model.weights = _fitted(materialise(x, "inputs"), by_label)
+        model.lexicon = lexicon(seen, sizes, [0, 1, 2, 3])
+    return model
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of docs."""
-    shared = _Shared(docs.sparkSession, learn(docs, labels, per_class))
+    shared = _Shared(docs.sparkSession, learn(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_score(shared), "doc_id long, score double")
     return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -372,8 +561,8 @@ def _filter(shared: _Shared):
     return run
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those whose score is 0.5 or more; all columns stay as they are."""
-    shared = _Shared(docs.sparkSession, learn(docs, labels, per_class))
+    shared = _Shared(docs.sparkSession, learn(docs, labels))
     rows = wrapped(docs).select(F.col("row.text").cast("string").alias("text"), "row")
     return rows.mapInArrow(_filter(shared), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -305,3 +305,26 @@ def test_measures_against_counting():
         assert abs(x[1 + i, 2] - sum(48 <= b <= 57 for b in part) / len(part)) < 1e-12
         assert abs(x[1 + i, 5] - sum(b >= 128 for b in part) / len(part)) < 1e-12
     assert (owner == [0] + [1] * (len(x) - 1)).all()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Over 2000 labelled rows of each kind, and the model that the tables give."""
+    from tessera.llm.toxicity import learn
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(6000):
+        words = prose(rng, EN, 12).split() + [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"]
+        rows.append((i, " ".join(words + [rng.choice(BAD)] * (i % 2)), i % 2))
+    rows += [(9000 + k, rows[k][1], rows[k][2]) for k in range(50)]  # copies count once
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(7)
+    return rows, learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+
+
+def test_toxicity_learns_from_all_labelled_rows(many):
+    """The lexicon, the known words and the regression of tables are those of all rows at hand."""
+    rows, model = many
+    want = train_toxicity([r for r in rows if not held(r[0], 5, 0)])
+    assert model.lexicon and model.lexicon == want.lexicon and model.clean == want.clean
+    assert np.allclose(model.weights, want.weights)
