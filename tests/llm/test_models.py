@@ -328,3 +328,14 @@ def test_toxicity_learns_from_all_labelled_rows(many):
     want = train_toxicity([r for r in rows if not held(r[0], 5, 0)])
     assert model.lexicon and model.lexicon == want.lexicon and model.clean == want.clean
     assert np.allclose(model.weights, want.weights)
+
+
+def test_letters_are_learned_from_all_labelled_rows(many):
+    """Each document has a word of its own, and the letters of all of them count but for a few chance near copies."""
+    rows, model = many
+    assert model.after == train_toxicity([r for r in rows if not held(r[0], 5, 0)]).after
+    own = [t.split()[12] for i, t, _ in rows if i < 9000 and not held(i, 5, 0)]
+    heads = {}
+    for w in own:
+        heads[w[1]] = heads.get(w[1], 0) + 1
+    assert len(own) > 4700 and all(model.after["\0w"][c] >= 0.9 * n for c, n in heads.items())
