@@ -5,14 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shingles import shingle_sets
-
-
 MOST = 20_000
 
 
@@ -39,27 +34,6 @@ def sample_texts(docs: DataFrame, labels: DataFrame, learnable: Column, per_clas
     return sorted(((r.doc_id, r.text or "", r.label) for r in rows), key=lambda r: (r[0], r[1]))
 
 
-def apart(sample: list[tuple[int, str, object]], words: int = 5, marks: int = 4) -> list[tuple[int, str, object]]:
-    """The rows without those that are near copies of an earlier one: what stands in many copies of one text is no evidence.
-
-    Texts that share one of their `marks` least word shingles count as near copies; those without a word are told by their text."""
-    seen: set = set()
-    out = []
-    for row in sample:
-        own = set(least_shingles(pa.array([row[1]]), words, marks)[0])
-        if own.isdisjoint(seen):
-            out.append(row)
-        seen |= own
-    return out
-
-
-def least_shingles(texts: pa.Array, words: int = 5, marks: int = 4) -> list[list[int]]:
-    """The least word shingles of each text; of a text without a word, a print of the text."""
-    hashes, at = shingle_sets(texts, words)
-    hashes = hashes.view(np.int64)
-    return [hashes[a : min(b, a + marks)].tolist() if b > a else [xxhash.xxh3_64_intdigest(texts[i].as_py().encode()) - (1 << 63)] for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))]
-
-
 def adam(params: dict[str, np.ndarray], gradient: Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]], rows: int, epochs: int, batch: int, rate: float, decay: float = 0.0, seed: int = 0) -> None:
     """Trains params in place; gradient(params, row numbers) gives what to descend along."""
     rng, step = np.random.default_rng(seed), 0

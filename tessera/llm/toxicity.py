@@ -9,8 +9,10 @@ that hits the lexicon hardest counts.  Letters doubled once shrink only in words
 Restored words are then scored: a lexicon of words and word beginnings (4 to 6 letters) with their log odds between toxic and
 clean documents, and a logistic regression on how many words of a document hit it and how hard.
 
-Training takes all labelled documents that are not held out, near copies once.  A third of the clean ones tell which words are
-known; of the rest the lexicon is learned on one half and the regression on the other, then the lexicon on both.  Scoring reads every word of every text; a worker keeps what it knows of distinct words.
+Training takes all labelled documents that are not held out.  The letters are counted in every one of them; else documents of
+one label with the same words in the same order count once, as what stands in many copies of one text is no evidence.  A third
+of the clean ones tell which words are known; of the rest the lexicon is learned on one half and the regression on the other,
+then the lexicon on both.  Scoring reads every word of every text; a worker keeps what it knows of distinct words.
 
 Defined cases: null or empty text has no hit and gets the lowest score; without labels of both kinds every score is 0; ids may
 be null or repeat, each row is scored alone; of readings that tie in price the first in the order of LEET counts; a score of
@@ -27,12 +29,13 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import BLANK, by_number, crc_of_id, held, let_go, materialise, numbered, scope, slices, strings, view, width, wrapped
-from tessera.llm.learn import apart, least_shingles, logistic, newton, newton_sums, sigmoid
+from tessera.llm.learn import logistic, newton, newton_sums, sigmoid
 
 PREFIXES = (4, 5, 6)
 LEAST_DOCS, TOXIC_SHARE, LEAST_ODDS = 4, 1000, 2.0  # a feature stands in 4 toxic documents, and in one of 1000
@@ -235,6 +238,11 @@ def tells_known(label, fold) -> bool:
     return (label == 0) & (fold < 2)
 
 
+def print_of(text: str) -> bytes:
+    """128 bits of a text's words and their order; two texts share one by a chance of 2**-128."""
+    return xxhash.xxh3_128_digest(" ".join(text.lower().split()).encode())
+
+
 def count_words(text: str, known: bool, counts: Counter, docs: Counter) -> None:
     """Adds how often a text has its words of letters, and those words once if it tells which are known."""
     low = text.lower().split()
@@ -301,12 +309,16 @@ class Reader:
 def train(sample: list[tuple[int, str, object]]) -> Model:
     """What learn() makes of tables, of a few rows at hand."""
     model = Model()
-    rows = [(t, int(y), fold_of(i)) for i, t, y in apart(sorted(sample, key=lambda r: r[0]))]
+    rows = [(t, int(y), fold_of(i)) for i, t, y in sorted(sample, key=lambda r: r[0])]
+    first: dict[tuple[bytes, int], tuple[str, int, int]] = {}
+    for r in rows:
+        first.setdefault((print_of(r[0]), r[1]), r)
     counts, docs, letters = Counter(), Counter(), Counter()
-    for t, y, k in rows:
-        count_words(t, tells_known(y, k), counts, docs)
+    for r in rows:
+        count_words(r[0], tells_known(*r[1:]) and first[print_of(r[0]), r[1]] is r, counts, docs)
     count_letters(counts.items(), letters)
     model.learn_letters(letters)
+    rows = list(first.values())
     least = least_known(sum(tells_known(y, k) for _, y, k in rows))
     model.clean = {w for w, n in docs.items() if n >= least}
     rows = [(t, y, 2 * (k % 2) + y) for t, y, k in rows if not tells_known(y, k)]
@@ -413,11 +425,11 @@ def _score(shared: _Shared):
 AT_ONCE = 200_000  # counts that a task holds before it sends them
 
 
-def _marks(batches):
-    """A text's least shingles as one value: texts that share one are near copies (learn.apart)."""
+def _prints(batches):
     let_go()
     for batch in slices(batches, "text", 2 << 20):
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.array(least_shingles(batch.column("text")), pa.list_(pa.int64()))], names=["doc_id", "rid", "marks"])
+        prints = pa.array(map(print_of, batch.column("text").to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "label")), prints], names=["doc_id", "rid", "label", "print"])
 
 
 def _words(batches):
@@ -427,8 +439,8 @@ def _words(batches):
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[w] for w in counts], pa.int64())], names=["word", "n", "docs"])
 
     for batch in slices(batches, "text", 2 << 20):
-        for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
-            count_words(text, tells_known(label, fold), counts, docs)
+        for text, known in zip(*(batch.column(c).to_pylist() for c in ("text", "known")), strict=True):
+            count_words(text, known, counts, docs)
             if len(counts) > AT_ONCE:
                 yield sums()
                 counts, docs = Counter(), Counter()
@@ -500,7 +512,7 @@ def _fitted(rows: DataFrame, sizes: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from all rows of labels(doc_id, toxic) that are not held out, whole texts, near copies once.
+    """A model from all rows of labels(doc_id, toxic) that are not held out, whole texts.
 
     Texts meet their labels once and are written; all counts and sums are made where they lie.  The driver gets the trigrams of
     letters, the known words and the features of toxic documents that the thresholds leave."""
@@ -512,17 +524,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     fold = (F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit("t")).cast("binary")) % 6).cast("int")
     with scope(spark):
         base = numbered(texts.join(one.hint("shuffle_hash"), "doc_id").withColumn("fold", fold), "training")
-        marks = base.select("doc_id", "rid", "text").mapInArrow(_marks, "doc_id long, rid long, marks array<long>")
-        classes = materialise(marks.groupBy("marks").agg(F.min(F.struct("doc_id", "rid")).alias("own")), "near-copies")
-        each = classes.select("own", F.explode("marks").alias("mark"))
-        first = each.groupBy("mark").agg(F.min("own").alias("first"))
-        once = each.join(first, "mark").groupBy("own").agg(F.min((F.col("own") == F.col("first")).cast("int")).alias("kept")).where("kept = 1")
-        once = materialise(once.select("own.rid"), "once")
+        prints = base.select("doc_id", "rid", "label", "text").mapInArrow(_prints, "doc_id long, rid long, label int, print binary")
+        first = materialise(prints.groupBy("print", "label").agg(F.min(F.struct("doc_id", "rid")).alias("own")).select("own.rid", F.lit(True).alias("once")), "once")
+        once = F.coalesce(F.col("once"), F.lit(False))
         known = tells_known(F.col("label"), F.col("fold"))
-        rows = by_number(base, once, "inner").select("label", "fold", "text", known.alias("known"), (F.col("fold") % 2 * 2 + F.col("label")).alias("cell"))
+        every = by_number(base, first, "left").select("label", "text", once.alias("once"), (once & known).alias("known"), (F.col("fold") % 2 * 2 + F.col("label")).alias("cell"))
+        rows = every.where("once")
         n = {(r.known, r.cell): r["count"] for r in rows.groupBy("known", "cell").count().collect()}  # a row a cell
         model = Model()
-        words = rows.select("text", "label", "fold").mapInArrow(_words, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        words = every.select("text", "known").mapInArrow(_words, "word string, n long, docs long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         words = materialise(words, "words")
         letters = words.select("word", "n").mapInArrow(_letters, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
         model.learn_letters(dict(zip(letters.column("key").to_pylist(), letters.column("n").to_pylist(), strict=True)))

@@ -339,3 +339,29 @@ def test_letters_are_learned_from_all_labelled_rows(many):
     for w in own:
         heads[w[1]] = heads.get(w[1], 0) + 1
     assert len(own) > 4700 and all(model.after["\0w"][c] >= 0.9 * n for c, n in heads.items())
+
+
+def test_documents_that_share_a_line_are_all_learned(spark):
+    """Different texts with a common line are no copies; of equal ones one counts for each label, and the letters of all."""
+    import math
+    from collections import Counter
+
+    from tessera.llm.toxicity import fold_of, learn, tells_known
+
+    rng = random.Random(13)
+    line = prose(rng, EN, 12)
+    rows = [(i, " ".join([line, *("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(30)), *["vermin"] * (i % 2)]), i % 2) for i in range(300)]
+    rows += [(1000 + k, rows[k][1].upper(), rows[k][2] if k % 3 else 1 - rows[k][2]) for k in range(60)]
+    model = learn(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(5), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    rows = [r for r in rows if not held(r[0], 5, 0)]
+    heads = Counter()
+    for w, n in Counter(w for _, t, _ in rows for w in t.lower().split()).items():
+        heads[w[0]] += 1 + math.log(n)
+    assert model.after["\0\0"].keys() == heads.keys() and all(abs(model.after["\0\0"][c] - n) < 1e-3 for c, n in heads.items())
+    once = {}
+    for i, t, y in rows:
+        once.setdefault((t.lower(), y), i)
+    read = [(t, y) for (t, y), i in once.items() if not tells_known(y, fold_of(i))]
+    n1, n0 = (sum(y == k for _, y in read) for k in (1, 0))
+    c1, c0 = (sum("vermin" in t for t, y in read if y == k) for k in (1, 0))
+    assert abs(model.lexicon["vermin$"] - (math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1)))) < 1e-9
