@@ -4,8 +4,10 @@ A text, lower-cased, is cut into windows of WINDOW bytes (the last is filled wit
 the window at every place as sums of table entries (a convolution over one-hot bytes), each filter keeps its largest value
 in the window, and a softmax layer gives log probabilities of the languages.  A document's are the means over its windows.
 
-Training takes at most per_class documents of each language by hash of id and all windows of each, in random order; scoring
-reads all windows of every text.  Inference adds entries for pairs of bytes at once.
+Training takes all windows of all documents with a language that are not held out, in random order.  Where they are many, a
+network of per_class documents of each language is where all tasks begin; each goes on over all of its windows, and the mean of
+their networks is where they begin again (local SGD).  Scoring reads all windows of every text.  Inference adds entries for
+pairs of bytes at once.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; ids may be null or repeat, each row is scored
 alone; of languages that tie in probability the first by name is taken; of training texts that repeat one counts, with the
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import crc_of_id, let_go, slices, view, wrapped
-from tessera.llm.learn import adam, sample_texts
+from tessera.llm.common import by_number, crc_of_id, let_go, materialise, numbered, scope, slices, view, wrapped
+from tessera.llm.learn import MOST, adam, sample_texts
 
 WINDOW, FILTERS, WIDTHS = 128, 8, (2, 3, 4)
 PER_CLASS, EPOCHS, VISITS = 600, 2, 180_000
+AT_DRIVER = VISITS // EPOCHS  # so many windows are learned on the driver
+RATES, POOL = (0.003, 0.001), 1 << 16  # a pass over all windows each; a task draws from a pool of 2 * POOL
 LEAST_SCORE = 0.5
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -127,8 +131,8 @@ class Net:
         self.__dict__.update(state)
 
 
-def train(sample: list[tuple[int, str, object]]) -> Net:
-    net = Net(sorted({y for _, _, y in sample}))
+def train(sample: list[tuple[int, str, object]], languages: list | None = None) -> Net:
+    net = Net(sorted({y for _, _, y in sample}) if languages is None else languages)
     xs, ys = [], []
     for text, y in {t: y for _, t, y in sample}.items():
         x, _ = windows(pa.array([text]))
@@ -142,10 +146,65 @@ def train(sample: list[tuple[int, str, object]]) -> Net:
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net:
-    """A network from labels(doc_id, lang) that are not held out, with the texts of docs."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label"))
-    return train(sample_texts(docs.where(F.col("text").rlike("\\p{L}")), rows, crc_of_id() % 5 != 0, per_class))
+def _pass(net, rate: float):
+    """A task's number of windows, and the network that has gone on over all of them."""
+
+    def run(batches):
+        let_go()
+        own = net.value
+        params = {k: v.copy() for k, v in own.params.items()}
+        place = {y: i for i, y in enumerate(own.languages)}
+        rng = np.random.default_rng(0)
+        n, xs, ys = 0, [], []
+
+        def go_on(most: int | None) -> None:
+            """Over windows drawn from the pool, others stay in it."""
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            order = rng.permutation(len(x))
+            now, later = order[:most], order[len(x) if most is None else most :]
+            adam(params, lambda p, i: own.gradient(p, x[now[i]], y[now[i]]), len(now), 1, 64, rate, 1e-5)
+            xs[:], ys[:] = [x[later]], [y[later]]
+
+        for batch in slices(batches, "text", 4 << 20):
+            x, owner = windows(batch.column("text"))
+            xs.append(x)
+            ys.append(np.array([place[y] for y in batch.column("label").to_pylist()])[owner])
+            n += len(x)
+            while sum(map(len, xs)) >= 2 * POOL:
+                go_on(POOL)
+        if n:
+            go_on(None)
+            whole = np.concatenate([params[k].ravel() for k in sorted(params)])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], names=["n", "params"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, at_driver: int = AT_DRIVER) -> Net:
+    """A network from all rows of labels(doc_id, lang) that are not held out, with the whole texts of docs.
+
+    Texts meet their languages once and are written.  Up to at_driver windows reach the driver; of more, per_class documents of
+    each language (MOST in all), and then a network a task."""
+    spark = docs.sparkSession
+    learnable = F.col("doc_id").isNotNull() & (crc_of_id() % 5 != 0)
+    one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("label")).where(learnable & F.col("label").isNotNull())
+    one = one.groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learnable & F.col("text").rlike("\\p{L}"))
+    with scope(spark):
+        base = numbered(texts.join(one.hint("shuffle_hash"), "doc_id"), "training")
+        once = base.groupBy(F.unhex(F.md5("text")).alias("print")).agg(F.max(F.struct("doc_id", "rid")).alias("own"))
+        rows = by_number(base, materialise(once.select("own.rid"), "once"), "inner").select("doc_id", "text", "label")
+        if (rows.agg(F.sum(F.ceil(F.octet_length("text") / WINDOW))).first()[0] or 0) <= at_driver:
+            return train(sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1])))
+        sample = sample_texts(rows, rows.select("doc_id", "label"), F.lit(True), per_class)
+        net = train(sample, sorted(r.label for r in rows.select("label").distinct().limit(MOST + 1).collect()))  # sample_texts() raises an error for more
+        for rate in RATES:
+            parts = rows.select("text", "label").mapInArrow(_pass(spark.sparkContext.broadcast(net), rate), "n long, params binary").collect()
+            mean = sum(r.n * np.frombuffer(r.params, np.float32).astype(float) for r in parts) / sum(r.n for r in parts)
+            for k in sorted(net.params):
+                own, mean = mean[: net.params[k].size], mean[net.params[k].size :]
+                net.params[k] = own.reshape(net.params[k].shape).astype(np.float32)
+    return net
 
 
 def _apply(net, keep=None):

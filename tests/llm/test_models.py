@@ -365,3 +365,25 @@ def test_documents_that_share_a_line_are_all_learned(spark):
     n1, n0 = (sum(y == k for _, y in read) for k in (1, 0))
     c1, c0 = (sum("vermin" in t for t, y in read if y == k) for k in (1, 0))
     assert abs(model.lexicon["vermin$"] - (math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1)))) < 1e-9
+
+
+def test_languages_are_learned_from_all_rows(spark):
+    """Scripts that only documents beyond the first 600 by hash of their languages show, on the driver and in tasks."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm.language import learn
+
+    ids = [i for i in range(3800) if not held(i, 5, 0)]
+    by_hash = [r.doc_id for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11)).collect()]
+    rng, rows = random.Random(14), []
+    scripts = {"de": "αβγδεζηθικλμ", "en": "бвгджзклмнпр"}
+    word = lambda lang: "".join(rng.choice(scripts[lang]) for _ in range(6))
+    for k, i in enumerate(by_hash):
+        lang = ("en", "de")[k % 2]
+        rows.append((i, " ".join(word(lang) for _ in range(60)) if k >= len(by_hash) - 300 else prose(rng, EN if lang == "en" else DE, 60), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    texts = {lang: pa.array([prose(rng, EN if lang == "en" else DE, 30)] + [" ".join(word(lang) for _ in range(30)) for _ in range(20)]) for lang in scripts}
+    for net in (learn(docs, docs), learn(docs, docs, at_driver=0)):
+        assert net.languages == ["de", "en"]
+        for lang, own in texts.items():
+            assert set(net(own)[0]) == {lang}
