@@ -35,6 +35,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to the session's number of tasks: a small table is one task, whose rows may become large files."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def packed(rows: DataFrame, key: str, columns: list[str], build) -> DataFrame:
     """(path, content): build(*columns) of each row as a file's bytes; null texts count as empty."""
     blank = [isinstance(rows.schema[c].dataType, StringType) for c in columns]

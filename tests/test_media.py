@@ -1,13 +1,18 @@
 """Files on disk, streams of them, broken ones, and streamed codecs."""
 
+import glob
+import os
+import tempfile
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.kernels import codecs, containers, tiff
 from tessera.kernels.containers import Part
-from tessera.plans.queries import packed
-from tessera.sources import media, sinks
+from tessera.plans import pixel_queries  # noqa: F401  registers
+from tessera.plans.queries import QUERIES, packed
+from tessera.sources import media, ranges, sinks
 from tessera.streaming import media as streams
 
 
@@ -111,3 +116,30 @@ def test_results_are_cut_by_bytes(spark):
     assert len(made) == first.num_rows <= 16
     rows = [(r["k"], r["label"], r["error"]) for b in (first, *batches) for r in b.select(["k", "label", "error"]).to_pylist()]
     assert rows == [(k, None, "ValueError: seven") if k == 7 else (k, str(k), None) for k in range(200)]
+
+
+def test_saved_files_go_when_they_are_read(spark, tmp_path):
+    """One task, 20 files: the folder never holds more than the file that is being saved, and nothing in the end."""
+    head = tiff.write([tiff.Entry("IFD0", 271, 2, b"m\0")])
+    rows = packed(spark.range(20).coalesce(1), "id", [], lambda: head)
+    folder = str(tmp_path)
+
+    def pieces(content):
+        yield content
+        if len(os.listdir(folder)) > 1:
+            raise AssertionError("files of other rows are there")
+        yield bytes(1 << 20)
+
+    found = ranges.scan_saved(rows, folder, pieces).collect()
+    assert sorted(int(r.path) for r in found) == list(range(20))
+    assert all((r.tag, r.text, r.error) == (271, "m", None) and r.read_bytes < 65536 for r in found)
+    assert os.listdir(folder) == []
+
+
+def test_lazy_tiff_leaves_no_files(spark):
+    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).removeprefix("file:")
+    before = set(glob.glob(f"{base}/tessera-files-tiff-*"))
+    rows = QUERIES["src_24_lazy_tiff"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.strip_unread for r in rows)
+    made = set(glob.glob(f"{base}/tessera-files-tiff-*")) - before
+    assert made and not any(os.listdir(x) for x in made)
