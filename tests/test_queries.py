@@ -41,3 +41,16 @@ def test_against_sql(spark, duck, name):
             assert a == b or all(x == y or math.isclose(float(x), float(y), rel_tol=1e-9) for x, y in zip(a, b, strict=True))
     else:
         assert rows(got) == rows(want)
+
+
+def test_box_fragments_of_every_part(spark, tmp_path):
+    """Keys of all remainders, names of several bytes a letter, an empty and a missing one."""
+    names = ["small widget", "größer", "名", "", None, "x" * 40, "a\0b"]
+    parts = [(i, names[i % len(names)]) for i in range(1, 41)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = QUERIES["agg_03_box_fragments"](spark, str(tmp_path)).select("p_partkey", "label", "content_md5").collect()
+    want = con.sql(SQL["agg_03_box_fragments"]).fetchall()
+    assert {k for k, _, _ in want} == {k for k, _ in parts}
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(want)
